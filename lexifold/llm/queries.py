@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import bpe, burst, distinctive, mixing, repetition
+from lexifold.llm import bpe, burst, distinctive, markup, mixing, repetition
 from lexifold.runtime import load
 
 
@@ -38,6 +38,21 @@ def p5_log_likelihood(spark: SparkSession, folder: str) -> DataFrame:
     return distinctive.distinctive_terms(_parsed(spark, folder), "article_no", ["abstract", "body"], by="log_likelihood")
 
 
+def _fields(spark: SparkSession, folder: str) -> DataFrame:
+    received = load(spark, folder, "articles").filter("text_state = 'as_received'")
+    return markup.clean_fields(received, "article_no", ["abstract", "body"])
+
+
+def p6_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return _fields(spark, folder).select("article_no", "part", "family", "clean_text")
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    mark = F.struct(F.lit("any").alias("elem"), F.lit(0).cast("bigint").alias("elem_no"), F.lit("").alias("clean_text"))
+    marked = _fields(spark, folder).filter(F.col("family").isNotNull())
+    return marked.select("article_no", "part", F.inline(F.concat(F.array(mark), F.col("elements"))))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encode(load(spark, folder, "documents"))
 
@@ -63,5 +78,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p5_found, p5_log_likelihood, p7_ids, p8_found, p8_chosen, p8_shares, p9_found, p9_shares)
+    f.__name__: f for f in (p1_found, p1_terms, p5_found, p5_log_likelihood, p6_found, p6_clean, p7_ids, p8_found, p8_chosen, p8_shares, p9_found, p9_shares)
 }
