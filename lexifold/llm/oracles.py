@@ -54,7 +54,24 @@ WITH held AS (
 )
 """
 
+_P3 = """
+WITH held AS (
+  SELECT article_no, array_to_string(regexp_extract_all(lower(coalesce(title, '') || abstract), '[\\p{L}\\p{N}]'), '') AS s
+  FROM articles WHERE regexp_replace(abstract, '\\s', '', 'g') <> ''
+), runs AS MATERIALIZED (
+  SELECT DISTINCT article_no, hash(substr(s, k, 9)) AS run
+  FROM (SELECT article_no, s, unnest(range(1, length(s) - 7)) AS k FROM held WHERE length(s) >= 9)
+), sizes AS (SELECT article_no, count(*) AS n FROM runs GROUP BY article_no),
+met AS (
+  SELECT a.article_no AS a, b.article_no AS b, count(*) AS common
+  FROM runs a JOIN runs b ON a.run = b.run AND a.article_no < b.article_no GROUP BY ALL
+)
+SELECT a AS article_no_a, b AS article_no_b
+FROM met JOIN sizes x ON x.article_no = a JOIN sizes y ON y.article_no = b WHERE common >= 0.6 * (x.n + y.n - common)
+"""
+
 ORACLES: dict[str, str] = {
+    "p3_found": _P3,
     "p1_terms": _P1 + "SELECT term, occurrences, records, band FROM banded",
     "p1_found": _P1 + "SELECT term, band FROM banded WHERE band <> 'useful'",
     "p5_found": _P5,
