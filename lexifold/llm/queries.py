@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.llm import bpe, burst, distinctive, markup, mixing, neardup, repetition
+from lexifold.llm import bpe, burst, distinctive, markup, mixing, neardup, repetition, sentences
 from lexifold.runtime import load
 
 
@@ -30,6 +30,14 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return p1_terms(spark, folder).filter("band <> 'useful'").select("term", "band")
 
 
+def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
+    return sentences.sentences(_parsed(spark, folder), "article_no", ["abstract", "body"])
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return p2_sentences(spark, folder).select("article_no", "part", "start_pos", "end_pos")
+
+
 def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     articles = load(spark, folder, "articles").filter(F.length(F.regexp_replace("abstract", r"\s", "")) > 0)
     return neardup.links(articles, "article_no", ["title", "abstract"])
@@ -92,5 +100,5 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p3_found, p3_groups, p5_found, p5_log_likelihood, p6_found, p6_clean, p7_ids, p8_found, p8_chosen, p8_shares, p9_found, p9_shares)
+    f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_sentences, p3_found, p3_groups, p5_found, p5_log_likelihood, p6_found, p6_clean, p7_ids, p8_found, p8_chosen, p8_shares, p9_found, p9_shares)
 }
