@@ -2,7 +2,15 @@
 
 from __future__ import annotations
 
-from lexifold.plans import records
+from pyspark.sql import DataFrame, SparkSession
 
-QUERIES = {**records.QUERIES}
-ORACLES = {**records.ORACLES}
+from lexifold.operators import search
+from lexifold.plans import analysis, records, retrieval
+
+QUERIES = {**records.QUERIES, **retrieval.QUERIES, **analysis.QUERIES}
+ORACLES = {**records.ORACLES, **retrieval.ORACLES, **analysis.ORACLES}
+
+
+def entry(spark: SparkSession, folder: str) -> DataFrame:
+    """The flagship query: a ranked search."""
+    return search.search(retrieval.docs(spark, folder), retrieval.OR, "OR")
