@@ -76,3 +76,37 @@ def fetch_report(requested: DataFrame, returned: DataFrame) -> DataFrame:
         F.count_if(F.col("usable").isNull()).alias("not_found"),
         F.count_if(F.col("usable") == 0).alias("without_abstract"),
     )
+
+
+def created(topics: DataFrame, title: str, query: str = "", source: str = "pubmed") -> DataFrame:
+    """The catalogue with a new topic; a ValueError for a title of no or over 80 characters, or one already there."""
+    spark = topics.sparkSession
+    tidy = " ".join(title.split())
+    if not 1 <= len(tidy) <= 80:
+        raise ValueError("a title has 1 to 80 characters")
+    if topics.filter(X.fold(I.tidy_title("title")) == F.lit(tidy.lower().replace("ß", "ss"))).limit(1).count():
+        raise ValueError("there is a topic of this title")
+    row = spark.createDataFrame([(tidy, query.strip(), source)], "title string, default_query string, source string").select(
+        I.slug("title").alias("collection_id"), "title", "default_query", "source", F.create_map("source", "default_query").alias("source_queries"),
+        F.current_timestamp().alias("created_at"), F.lit(0).alias("document_count"),
+    )
+    return topics.unionByName(row.select(*topics.columns))
+
+
+def recounted(topics: DataFrame, documents: DataFrame) -> DataFrame:
+    """The catalogue with the number of documents each topic holds."""
+    held = documents.groupBy("collection_id").agg(F.count("*").cast("int").alias("_n"))
+    return topics.join(held, "collection_id", "left").withColumn("document_count", F.coalesce("_n", F.lit(0))).select(*topics.columns)
+
+
+def without(table: DataFrame, collection_id: str) -> DataFrame:
+    """A table without a topic's rows."""
+    return table.filter(F.col("collection_id") != collection_id)
+
+
+def deletion(documents: DataFrame, collection_id: str, document_id: str) -> DataFrame:
+    """The row to append to the deletions; a ValueError for a document that isn't held."""
+    found = documents.filter((F.col("collection_id") == collection_id) & (F.col("id") == document_id)).limit(1)
+    if not found.count():
+        raise ValueError("there is no such document")
+    return found.select("collection_id", F.col("id").alias("article_id"), F.current_timestamp().alias("deleted_at"))

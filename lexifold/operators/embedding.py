@@ -84,36 +84,39 @@ def _train(examples: list[tuple[list[int], int]], n: np.ndarray, dimension: int,
     inner = draw.uniform(-0.5 / dimension, 0.5 / dimension, (len(n), dimension))
     outer = np.zeros((len(n), dimension))
     cumulative = np.cumsum(n.astype(float) ** 0.75)
+    targets = np.array([t for _, t in examples])
+    labels = np.zeros(negatives + 1)
+    labels[0] = 1
     for epoch in range(epochs):
         rate = 0.035 * (1 - 0.35 * epoch / max(1, epochs - 1))
         order = draw.permutation(len(examples))
         drawn = np.searchsorted(cumulative, draw.random((len(examples), negatives)) * cumulative[-1])
-        labels = np.zeros(negatives + 1)
-        labels[0] = 1
-        for row, k in zip(drawn, order):
-            sources, target = examples[k]
-            words = np.concatenate([[target], np.where(row == target, (row + 1) % len(n), row)])
+        hit = targets[order][:, None]
+        drawn = np.hstack([hit, np.where(drawn == hit, (drawn + 1) % len(n), drawn)])
+        for words, k in zip(drawn, order):
+            sources = examples[k][0]
             hidden = inner[sources[0]] if len(sources) == 1 else inner[sources].mean(axis=0)
             held = outer[words]
-            gradient = rate * (labels - 1 / (1 + np.exp(-np.clip(held @ hidden, -8, 8))))
+            gradient = rate * (labels - 1 / (1 + np.exp(-(held @ hidden).clip(-8, 8))))
             step = gradient @ held / len(sources)
-            np.add.at(outer, words, gradient[:, None] * hidden)
-            if len(sources) == 1:
-                inner[sources[0]] += step
-            else:
-                np.add.at(inner, sources, step)
+            for word, g in zip(words, gradient):  # a word can be drawn twice
+                outer[word] += g * hidden
+            for source in sources:
+                inner[source] += step
     size = np.linalg.norm(inner, axis=1, keepdims=True)
     return inner / np.where(size > 0, size, 1)
 
 
 def train(
     documents: DataFrame, model: str = "skipgram", dimension: int = 24, window: int = 2, epochs: int = 2, most_words: int = 800,
-    most_examples: int = 60_000, negatives: int = 3,
+    most_examples: int = 60_000, negatives: int = 3, tasks: int = 64,
 ) -> DataFrame:
     """collection_id, word, n, vector, examples: one model per topic, trained side by side.
 
     A model is a sequence of updates and takes one task; its input is bounded by the
     word and example limits.  Topics with fewer than two words have no model.
+    Training costs far more than its input weighs, so topics are spread over
+    ``tasks`` partitions that aren't merged by size.
     """
     validate(model, dimension, window, epochs)
     vocab = vocabulary(documents, most_words)
@@ -136,7 +139,7 @@ def train(
 
     # Both sides stem from the same documents; fresh names keep their columns apart.
     topics = vocab.select(F.col("collection_id").alias("topic"), F.col("word").alias("word"), F.col("n").alias("n"), F.col("place").alias("place"))
-    return rows.groupBy("collection_id").cogroup(topics.groupBy("topic")).applyInPandas(
+    return rows.repartition(tasks, "collection_id").groupBy("collection_id").cogroup(topics.repartition(tasks, "topic").groupBy("topic")).applyInPandas(
         fit, "collection_id string, word string, n bigint, vector array<double>, examples bigint"
     )
 
