@@ -111,9 +111,9 @@ def distinctive_terms(
         raise ValueError("least_records must be 2 or more")
     spark = texts.sparkSession
     counted, n = count_terms(texts, columns)
-    counted = materialise(counted.filter(F.col("records") >= least_records), "terms")
-    # Terms of a single row never score but count in the collection's size.
-    total = _size(texts, columns) if by == "log_likelihood" else counted.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
+    counted = materialise(counted, "terms")
+    total = counted.agg(F.coalesce(F.sum("occurrences"), F.lit(0))).first()[0]
+    counted = counted.filter(F.col("records") >= least_records)
     least = max(float(least_records), n * share)
     while counted.filter(F.col("records") >= least).count() > most_shared:
         least *= 2
@@ -144,12 +144,3 @@ def distinctive_terms(
     order = Window.partitionBy(key).orderBy(F.col(by).desc(), F.col("term"))
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
 
-
-def _size(texts: DataFrame, columns: list[str]) -> int:
-    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = 0
-        for batch in batches:
-            n += sum(len(terms(t)) for c in columns for t in batch.column(c).to_pylist())
-        yield pa.record_batch([pa.array([n], pa.int64())], names=["n"])
-
-    return texts.select(*columns).mapInArrow(sizes, "n bigint").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

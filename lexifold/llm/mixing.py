@@ -66,7 +66,8 @@ def mixture(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS,
 
     First: plan_id, source, doc_id, n_tokens, copies (at least 1).  Second: plan_id,
     source, target_share, max_repeats, size, target_tokens, taken_tokens,
-    reached_share.  A source that is too small even repeated ``max_repeats`` times is
+    reached_share (of all taken), budget_share (of the plan's total, which is what
+    the targets are shares of; the two differ once a source falls short).  A source that is too small even repeated ``max_repeats`` times is
     taken so often; any other is taken whole as often as its target allows and once
     more below the threshold that fills up the rest without passing it.
 
@@ -116,6 +117,7 @@ def mixture(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS,
         .join(taken, ["plan_id", "source"], "left")
         .withColumn("taken_tokens", F.coalesce("taken_tokens", F.lit(0).cast("bigint")))
         .withColumn("reached_share", F.round(F.col("taken_tokens") / F.greatest(F.sum("taken_tokens").over(plan), F.lit(1)), 6))
+        .withColumn("budget_share", F.round(F.col("taken_tokens") / F.greatest(F.sum("size").over(plan), F.lit(1)), 6))
         .drop("short")
     )
     return chosen, shares
