@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
+from lexifold.operators import ranks
 
 
 def uniform(articles: DataFrame) -> DataFrame:
@@ -34,17 +35,15 @@ def active(articles: DataFrame, deleted: DataFrame) -> DataFrame:
 def numbered(documents: DataFrame, stored: DataFrame) -> DataFrame:
     """collection_id, id, number: 1..N in each topic; stored numbers keep their order, new documents follow by arrival."""
     known = stored.select("collection_id", F.col("article_id").alias("id"), "doc_number").dropDuplicates(["collection_id", "id"])
-    highest = stored.groupBy("collection_id").agg(F.max("doc_number").alias("highest"))
-    arrival = Window.partitionBy("collection_id", F.col("doc_number").isNull()).orderBy("article_no")
-    place = F.coalesce(F.col("doc_number"), F.coalesce(F.col("highest"), F.lit(0)) + F.row_number().over(arrival))
-    order = Window.partitionBy("collection_id").orderBy("place", "id")
-    return (
+    # Documents without a stored number follow all stored ones, stale ones among them, by arrival.
+    placed = (
         documents.select("collection_id", "id", "article_no")
         .join(known, ["collection_id", "id"], "left")
-        .join(highest, "collection_id", "left")
-        .withColumn("place", place)
-        .select("collection_id", "id", F.row_number().over(order).cast("bigint").alias("number"))
+        .withColumn("late", F.col("doc_number").isNull())
+        .withColumn("place", F.coalesce("doc_number", "article_no"))
     )
+    order = [F.col("late"), F.col("place"), F.col("id")]
+    return ranks.ranked(placed, ["collection_id"], order, "number").select("collection_id", "id", "number")
 
 
 def counts(documents: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from lexifold.functions import text as X
 from lexifold.functions.porter import stem, stems
+from lexifold.operators import ranks
 from lexifold.operators.index import whole_text
 
 MODES = ("AND", "OR", "PHRASE")
@@ -98,8 +99,8 @@ def search(documents: DataFrame, query: str, mode: str = "AND", doc_id: str | No
         rows = rows.filter(found)
     if doc_id is not None:
         rows = rows.filter(F.col("id") == doc_id)
-    order = Window.partitionBy("collection_id").orderBy(F.round("score", 9).desc(), "id")
-    return rows.select("collection_id", "id", F.round("score", 6).alias("score"), F.row_number().over(order).cast("bigint").alias("rank"))
+    hits = ranks.ranked(rows.select("collection_id", "id", F.round("score", 9).alias("score")), ["collection_id"], [F.col("score").desc(), F.col("id")])
+    return hits.withColumn("score", F.round("score", 6))
 
 
 def term_table(frequencies: DataFrame, hits: DataFrame, query: str, mode: str) -> DataFrame:

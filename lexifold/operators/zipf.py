@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
+from lexifold.operators import ranks
 
 CONDITIONS = ("A", "B", "C", "D")
 
@@ -34,8 +35,7 @@ def idf(documents: Column, df: Column) -> Column:
 
 def ranked(terms: DataFrame) -> DataFrame:
     """With ``rank``: 1..n in each topic by falling cf, ties to the smaller term."""
-    order = Window.partitionBy("collection_id").orderBy(F.col("cf").desc(), "term")
-    return terms.withColumn("rank", F.row_number().over(order).cast("bigint"))
+    return ranks.ranked(terms, ["collection_id"], [F.col("cf").desc(), F.col("term")])
 
 
 def fit(points: DataFrame, by: list[str]) -> DataFrame:
@@ -80,7 +80,8 @@ def regression(documents: DataFrame, condition: str) -> DataFrame:
 
 def regions(documents: DataFrame, condition: str) -> DataFrame:
     """Regression of the high, middle and low thirds of the ranks."""
-    terms = ranked(frequencies(documents, condition)).withColumn("n", F.count("*").over(Window.partitionBy("collection_id")))
+    terms = ranked(frequencies(documents, condition))
+    terms = terms.join(terms.groupBy("collection_id").agg(F.count("*").alias("n")), "collection_id")
     first = F.greatest(F.lit(1), F.floor(F.col("n") / 3))
     second = F.greatest(F.lit(2), F.floor(2 * F.col("n") / 3))
     region = F.when(F.col("rank") <= first, "high").when(F.col("rank") <= second, "middle").otherwise("low")
@@ -140,9 +141,8 @@ def distribution(documents: DataFrame, numbers: DataFrame, value: str, condition
     term = query_term(value, condition)
     tf = F.size(F.filter(X.conditioned("abstract", condition), lambda t: t == F.lit(term))).cast("bigint")
     held = documents.withColumn("tf", tf).filter("tf > 0").join(numbers, ["collection_id", "id"])
-    topic = Window.partitionBy("collection_id")
-    order = topic.orderBy(F.col("tf").desc(), "number")
-    return held.select(
-        "collection_id", "number", "id", "title", F.lit(term).alias("term"), "tf",
-        F.round(100 * F.col("tf") / F.max("tf").over(topic), 2).alias("width"), F.row_number().over(order).cast("bigint").alias("rank"),
-    )
+    held = ranks.ranked(held.select("collection_id", "number", "id", "title", F.lit(term).alias("term"), "tf"), ["collection_id"], [F.col("tf").desc(), F.col("number")])
+    most = held.groupBy("collection_id").agg(F.max("tf").alias("most"))
+    return held.join(most, "collection_id").select(
+        "collection_id", "number", "id", "title", "term", "tf", F.round(100 * F.col("tf") / F.col("most"), 2).alias("width"), "rank"
+    )

@@ -152,11 +152,9 @@ def bm25_scores(spark, folder):
 
 @query(f"WITH {Q.hits(S.query_terms(OR), 'OR')} SELECT *, round(100 * score / max(score) OVER (PARTITION BY collection_id), 4)::DOUBLE AS width FROM hits QUALIFY rank <= 100")
 def search_top100(spark, folder):
-    from pyspark.sql import Window
-
-    hits = S.search(docs(spark, folder), OR, "OR")
-    best = F.max("score").over(Window.partitionBy("collection_id"))
-    return hits.withColumn("width", F.round(100 * F.col("score") / best, 4)).filter("rank <= 100")
+    hits = S.search(docs(spark, folder), OR, "OR").filter("rank <= 100")
+    best = hits.groupBy("collection_id").agg(F.max("score").alias("best"))
+    return hits.join(best, "collection_id").select("collection_id", "id", "score", "rank", F.round(100 * F.col("score") / F.col("best"), 4).alias("width"))
 
 
 @query(
