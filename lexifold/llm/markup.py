@@ -171,7 +171,7 @@ def plain_latex(text: str) -> str:
         text = re.sub(r"(?<!\\)\{\s*\\[A-Za-z]+\s+((?:[^{}\\]|\\.)*)\}", r"\1", text)
         text = re.sub(r"(?<!\\)\{((?:[^{}\\]|\\.)*)\}", r"\1", text)
     text = re.sub(r"\\\\(?:\[[^\]]*\])?", " ", text)
-    text = re.sub(r"\\[A-Za-z]+\*?[ \t]*", " ", text)
+    text = re.sub(r"(?<![\w:\\])\\[A-Za-z]+\*?[ \t]*", " ", text)  # not in C:\\paths
     text = re.sub(r"(?<!\\)~", " ", text).replace("---", "—").replace("``", '"').replace("''", '"')
     return re.sub(r"\\([%&_#$(){}\[\]~])", r"\1", text)
 

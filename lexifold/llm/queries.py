@@ -97,7 +97,7 @@ def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return repetition.repetition(load(spark, folder, "documents")).filter(F.col("n_repeated") >= 0.3 * F.col("n_letters")).filter("n_letters > 0").select("doc_id")
+    return repetition.repetition(load(spark, folder, "documents")).filter(10 * F.col("n_repeated") >= 3 * F.col("n_letters")).filter("n_letters > 0").select("doc_id")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
