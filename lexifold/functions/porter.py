@@ -7,6 +7,7 @@ the published algorithm writes words: [C](VC){m}[V].
 from __future__ import annotations
 
 import re
+from collections import Counter
 from functools import lru_cache
 
 import pandas as pd
@@ -89,3 +90,24 @@ def _stem_arrays(arrays: pd.Series) -> pd.Series:
 def stems(words: Column) -> Column:
     """The stems of an array of folded words, in order."""
     return _stem_arrays(words)
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.LongType()))
+def occurrences(arrays: pd.Series) -> pd.Series:
+    """How often each word of an array occurs.
+
+    All words of a document lie in one row, so they are counted there and only
+    distinct ones go on; exploding first would send every word through a shuffle.
+    """
+    return arrays.map(lambda words: dict(Counter(words)), na_action="ignore")
+
+
+@F.pandas_udf(T.MapType(T.StringType(), T.ArrayType(T.LongType())))
+def occurrences_by_part(first: pd.Series, second: pd.Series) -> pd.Series:
+    """How often each word occurs in the first and in the second of two arrays."""
+
+    def counted(a, b) -> dict[str, list[int]]:
+        left, right = Counter(a), Counter(b)
+        return {w: [left[w], right[w]] for w in {**left, **right}}
+
+    return pd.Series([counted(a, b) for a, b in zip(first, second)])

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
 from lexifold.operators import ranks
+from lexifold.runtime import materialise
 
 
 def uniform(articles: DataFrame) -> DataFrame:
@@ -20,10 +21,17 @@ def uniform(articles: DataFrame) -> DataFrame:
     return articles.select("collection_id", F.col("article_id").alias("id"), "article_no", title, *filled)
 
 
-def keep_first(documents: DataFrame) -> DataFrame:
-    """The first of a topic's rows with one id, by arrival (``article_no``)."""
+def keep_first(documents: DataFrame, few: int = 1_000_000) -> DataFrame:
+    """The first of a topic's rows with one id, by arrival (``article_no``, unique).
+
+    Only keys are shuffled to find the later rows.  If they are ``few`` (8 MB) they
+    are sent to the texts, else both meet in a shuffle.
+    """
     order = Window.partitionBy("collection_id", "id").orderBy("article_no")
-    return documents.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    keys = documents.select("collection_id", "id", "article_no").withColumn("_n", F.row_number().over(order))
+    later = materialise(keys.filter("_n > 1").select("article_no"), "later")
+    later = F.broadcast(later) if later.count() <= few else later
+    return documents.join(later, "article_no", "left_anti").select(*documents.columns)
 
 
 def active(articles: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Inverted index: postings, document lengths, collection statistics.
 
-Terms of a document are stemmed in one Arrow batch beside its tokens, so no
-vocabulary is shuffled; postings are counted per document before they are sent.
+Terms of a document are stemmed and counted in one Arrow batch beside its tokens,
+so neither a vocabulary nor single tokens are shuffled.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
-from lexifold.functions.porter import stems
+from lexifold.functions.porter import occurrences, occurrences_by_part, stems
 
 
 def whole_text(documents: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def with_terms(documents: DataFrame) -> DataFrame:
 
 def postings(documents: DataFrame) -> DataFrame:
     """collection_id, term, id, tf."""
-    return with_terms(documents).select("collection_id", "id", F.explode("terms").alias("term")).groupBy("collection_id", "id", "term").agg(F.count("*").alias("tf"))
+    return with_terms(documents).select("collection_id", "id", F.explode(occurrences("terms")).alias("term", "tf"))
 
 
 def lengths(documents: DataFrame) -> DataFrame:
@@ -41,10 +41,6 @@ def statistics(documents: DataFrame) -> DataFrame:
 
 def stem_frequencies(documents: DataFrame) -> DataFrame:
     """collection_id, id, term, tf_abstract, tf_body, tf_full: stems with stop words, by region."""
-    regions = documents.select(
-        "collection_id", "id", F.explode(F.array(F.struct(F.lit(0).alias("region"), F.col("abstract").alias("text")), F.struct(F.lit(1).alias("region"), F.col("body").alias("text")))).alias("r")
-    )
-    each = regions.select("collection_id", "id", "r.region", F.explode(stems(X.tokens("r.text"))).alias("term"))
-    return each.groupBy("collection_id", "id", "term").agg(
-        F.count_if(F.col("region") == 0).alias("tf_abstract"), F.count_if(F.col("region") == 1).alias("tf_body"), F.count("*").alias("tf_full")
-    )
+    parts = occurrences_by_part(stems(X.tokens("abstract")), stems(X.tokens("body")))
+    each = documents.select("collection_id", "id", F.explode(parts).alias("term", "_n"))
+    return each.select("collection_id", "id", "term", F.col("_n")[0].alias("tf_abstract"), F.col("_n")[1].alias("tf_body"), (F.col("_n")[0] + F.col("_n")[1]).alias("tf_full"))

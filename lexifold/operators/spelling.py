@@ -20,8 +20,9 @@ def edit_distance(left: Column, right: Column, most: int | None = None) -> Colum
 
 def vocabulary(documents: DataFrame) -> DataFrame:
     """collection_id, word, n: unstemmed words of letters that are no stop words, over abstract and body."""
-    words = whole_text(documents).select("collection_id", F.explode(X.without_stop_words(X.tokens("text"))).alias("word"))
-    return words.filter(F.col("word").rlike(r"^\p{L}+$")).groupBy("collection_id", "word").agg(F.count("*").alias("n"))
+    held = F.filter(X.without_stop_words(X.tokens("text")), lambda w: w.rlike(r"^\p{L}+$"))
+    words = whole_text(documents).select("collection_id", F.explode(held).alias("word"))
+    return words.groupBy("collection_id", "word").agg(F.count("*").alias("n"))
 
 
 def candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -8,15 +8,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
+from lexifold.functions.porter import occurrences
 from lexifold.operators import ranks
+from lexifold.runtime import materialise
 
 CONDITIONS = ("A", "B", "C", "D")
 
 
 def document_tf(documents: DataFrame, condition: str) -> DataFrame:
     """collection_id, id, term, tf over the abstracts."""
-    words = documents.select("collection_id", "id", F.explode(X.conditioned("abstract", condition)).alias("term"))
-    return words.groupBy("collection_id", "id", "term").agg(F.count("*").alias("tf"))
+    return documents.select("collection_id", "id", F.explode(occurrences(X.conditioned("abstract", condition))).alias("term", "tf"))
 
 
 def frequencies(documents: DataFrame, condition: str) -> DataFrame:
@@ -63,9 +64,9 @@ def fit(points: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def summary(documents: DataFrame, condition: str) -> DataFrame:
-    """collection_id, documents, total_tokens, unique_terms, average_tokens."""
-    held = frequencies(documents, condition).groupBy("collection_id").agg(F.sum("cf").alias("total_tokens"), F.count("*").alias("unique_terms"))
+def summary(documents: DataFrame, condition: str, terms: DataFrame | None = None) -> DataFrame:
+    """collection_id, documents, total_tokens, unique_terms, average_tokens; ``terms`` are the frequencies, if at hand."""
+    held = (terms or frequencies(documents, condition)).groupBy("collection_id").agg(F.sum("cf").alias("total_tokens"), F.count("*").alias("unique_terms"))
     joined = sizes(documents).join(held, "collection_id", "left")
     total = F.coalesce("total_tokens", F.lit(0).cast("bigint"))
     return joined.select(
@@ -74,8 +75,14 @@ def summary(documents: DataFrame, condition: str) -> DataFrame:
     )
 
 
-def regression(documents: DataFrame, condition: str) -> DataFrame:
-    return fit(ranked(frequencies(documents, condition)), ["collection_id"])
+def regression(documents: DataFrame, condition: str, terms: DataFrame | None = None) -> DataFrame:
+    return fit(ranked(terms or frequencies(documents, condition)), ["collection_id"])
+
+
+def measured(documents: DataFrame, condition: str) -> DataFrame:
+    """Summary and regression; the texts are read once for both."""
+    terms = materialise(frequencies(documents, condition), "frequencies")
+    return summary(documents, condition, terms).join(regression(documents, condition, terms), "collection_id", "left")
 
 
 def regions(documents: DataFrame, condition: str) -> DataFrame:
@@ -90,10 +97,8 @@ def regions(documents: DataFrame, condition: str) -> DataFrame:
 
 def all_conditions(documents: DataFrame) -> DataFrame:
     """Summary and regression under each of the four conditions."""
-    parts = [
-        summary(documents, c).join(regression(documents, c), "collection_id").withColumn("condition", F.lit(c)) for c in CONDITIONS
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    zeros = {c: 0.0 for c in ("slope", "intercept", "exponent", "r_squared", "rmse")}
+    return reduce(DataFrame.unionByName, (measured(documents, c).fillna(zeros).withColumn("condition", F.lit(c)) for c in CONDITIONS))
 
 
 def comparison(documents: DataFrame, left: str, right: str, condition: str) -> DataFrame:
@@ -101,10 +106,10 @@ def comparison(documents: DataFrame, left: str, right: str, condition: str) -> D
     if left == right:
         raise ValueError("a comparison needs two different topics")
     both = documents.filter(F.col("collection_id").isin(left, right))
-    measured = summary(both, condition).join(regression(both, condition), "collection_id", "left")
+    sides = measured(both, condition)
     names = ("documents", "total_tokens", "unique_terms", "average_tokens", "slope", "exponent", "r_squared")
     pairs = F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), F.coalesce(F.col(n).cast("double"), F.lit(0.0)).alias("value")) for n in names]))
-    long = measured.select("collection_id", pairs.alias("m")).select("collection_id", "m.measure", "m.value")
+    long = sides.select("collection_id", pairs.alias("m")).select("collection_id", "m.measure", "m.value")
     side = lambda c, name: F.coalesce(F.max(F.when(F.col("collection_id") == c, F.col("value"))), F.lit(0.0)).alias(name)
     wide = long.groupBy("measure").agg(side(left, "left"), side(right, "right"))
     return wide.withColumn("differs", F.col("left") != F.col("right"))
