@@ -67,7 +67,7 @@ def counts(block: str) -> tuple[int, ...]:
     if "&" in block:
         entities = sum(html.unescape(m) != m for m in ENTITY.findall(block))
     if "\\" in block:
-        commands = len(COMMAND.findall(block))
+        commands = len(COMMAND.findall(MATH.sub("", block) if "$" in block else block))  # any family can hold formulas
     if "$" in block:
         formulas = sum(bool(MATHLIKE.search(m)) for m in MATH.findall(block)) + block.count("$$") // 2
     if "'" in block or "[" in block or "{" in block or "=" in block:
