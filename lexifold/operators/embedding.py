@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
@@ -47,11 +47,14 @@ def sequences(documents: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def contexts(sequences: DataFrame, window: int = 2) -> DataFrame:
     """collection_id, id, article_no, pos, center, context: the words up to ``window`` places around each word."""
-    at = F.posexplode("words").alias("pos", "center")
-    each = sequences.select("collection_id", "id", "article_no", "words", at)
-    before = F.slice("words", F.greatest(F.lit(1), F.col("pos") + 1 - window), F.least(F.lit(window), F.col("pos")))
-    after = F.slice("words", F.col("pos") + 2, F.lit(window))
-    return each.select("collection_id", "id", "article_no", F.col("pos").cast("bigint").alias("pos"), "center", F.concat(before, after).alias("context"))
+
+    def around(word: Column, at: Column) -> Column:
+        before = F.slice("words", F.greatest(F.lit(1), at + 1 - window), F.least(F.lit(window), at))
+        return F.struct(word.alias("center"), F.concat(before, F.slice("words", at + 2, F.lit(window))).alias("context"))
+
+    # Contexts are cut before the words are unfolded, so no row carries its whole abstract.
+    each = sequences.select("collection_id", "id", "article_no", F.posexplode(F.transform("words", around)).alias("pos", "_c"))
+    return each.select("collection_id", "id", "article_no", F.col("pos").cast("bigint").alias("pos"), "_c.center", "_c.context")
 
 
 def cbow_examples(sequences: DataFrame, window: int = 2) -> DataFrame:

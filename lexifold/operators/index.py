@@ -39,8 +39,9 @@ def statistics(documents: DataFrame) -> DataFrame:
     return lengths(documents).groupBy("collection_id").agg(F.count("*").alias("documents"), F.avg("length").alias("avg_length"))
 
 
-def stem_frequencies(documents: DataFrame) -> DataFrame:
-    """collection_id, id, term, tf_abstract, tf_body, tf_full: stems with stop words, by region."""
-    parts = occurrences_by_part(stems(X.tokens("abstract")), stems(X.tokens("body")))
+def stem_frequencies(documents: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """collection_id, id, term, tf_abstract, tf_body, tf_full: stems with stop words, by region; of ``only`` these terms, if given."""
+    kept = (lambda found: found) if only is None else (lambda found: F.filter(found, lambda t: t.isin(only)))
+    parts = occurrences_by_part(kept(stems(X.tokens("abstract"))), kept(stems(X.tokens("body"))))
     each = documents.select("collection_id", "id", F.explode(parts).alias("term", "_n"))
     return each.select("collection_id", "id", "term", F.col("_n")[0].alias("tf_abstract"), F.col("_n")[1].alias("tf_body"), (F.col("_n")[0] + F.col("_n")[1]).alias("tf_full"))

@@ -178,14 +178,14 @@ _FULL = "fst AS MATERIALIZED (SELECT collection_id, id, stem AS term, count(*) F
 )
 def search_term_table(spark, folder):
     held = docs(spark, folder)
-    return S.term_table(N.stem_frequencies(held), S.search(held, OR, "OR"), OR, "OR")
+    return S.term_table(N.stem_frequencies(held, S.query_stems(OR)), S.search(held, OR, "OR"), OR, "OR")
 
 
 @query(
     f"WITH {Q.DOCS}, {Q.TOK}, {Q.stems('tok')}, {_FULL} SELECT collection_id, id, term, a::BIGINT AS tf_abstract, b::BIGINT AS tf_body, (a + b)::BIGINT AS tf_full FROM fst WHERE term IN ({Q.listed(S.query_stems(OR))})"
 )
 def doc_term_counts(spark, folder):
-    return N.stem_frequencies(docs(spark, folder)).filter(F.col("term").isin(*S.query_stems(OR)))
+    return N.stem_frequencies(docs(spark, folder), S.query_stems(OR))
 
 
 @query(

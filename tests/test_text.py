@@ -58,3 +58,10 @@ def test_cells(spark):
     assert one(spark, "=1+1", X.safe_csv) == "'=1+1" and one(spark, "abc", X.safe_csv) == "abc" and one(spark, None, X.safe_csv) is None
     assert one(spark, "<a & 'b'>", X.html_escaped) == "&lt;a &amp; &#x27;b&#x27;&gt;"
     assert one(spark, "<p>One <b>two</b></p><script>x</script><ul><li>three", X.html_text) == "One two\nthree"
+
+
+def test_sql(spark):
+    from lexifold.functions.sql import register
+
+    register(spark)
+    assert spark.sql("SELECT porter_stem('cats') AS a, porter_stems(array('cats', 'ponies')) AS b, porter_stem(NULL) AS c").first() == ("cat", ["cat", "poni"], None)
