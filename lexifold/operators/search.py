@@ -99,8 +99,9 @@ def search(documents: DataFrame, query: str, mode: str = "AND", doc_id: str | No
         rows = rows.filter(found)
     if doc_id is not None:
         rows = rows.filter(F.col("id") == doc_id)
-    hits = ranks.ranked(rows.select("collection_id", "id", F.round("score", 9).alias("score")), ["collection_id"], [F.col("score").desc(), F.col("id")])
-    return hits.withColumn("score", F.round("score", 6))
+    held = rows.select("collection_id", "id", F.round("score", 6).alias("score"), F.round("score", 9).alias("_exact"))
+    return ranks.ranked(held, ["collection_id"], [F.col("_exact").desc(), F.col("id")]).drop("_exact")
+
 
 
 def term_table(frequencies: DataFrame, hits: DataFrame, query: str, mode: str) -> DataFrame:
