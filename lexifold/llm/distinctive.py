@@ -12,9 +12,11 @@ would multiply the input, so it is avoided in two exact steps:
 * Terms in at least ``share`` of the records are sent to every task.  There are at
   most (mean distinct terms of a record) / share of them, and the threshold is
   raised until no more than ``most_shared`` remain.
-* A record's remaining terms could at best score as terms of two records.  Only
-  those whose best case reaches the record's third best shared term are shuffled
-  to the statistics.
+* A record's remaining terms could at best score as terms of two records (of one,
+  if such terms count).  Only those whose best case reaches the record's third best
+  shared term are shuffled to the statistics.
+
+Where all terms are asked for, only the first step saves anything.
 """
 
 from __future__ import annotations
@@ -52,9 +54,13 @@ def _log_likelihood(a: Column, b: Column, c: Column, d: Column) -> Column:
     return F.when(a * n >= (a + b) * (a + c), 1.0).otherwise(-1.0) * F.greatest(F.lit(0.0), 2 * g)
 
 
-def candidates(key: str, columns: list[str], by: str, top: int, n: int, total: int, shared):
-    """Map task: a record to those of its terms that can be among its best."""
-    rarest = math.log(n / 2) if n > 2 else 0.0
+def candidates(key: str, columns: list[str], by: str, top: int | None, n: int, total: int, shared, singles: bool = False):
+    """Map task: a record to those of its terms that can be among its best; to all of them if ``top`` is None.
+
+    ``singles`` says that terms of one record count too.
+    """
+    fewest = 1 if singles else 2
+    rarest = math.log(n / fewest) if n > fewest else 0.0
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = shared.value
@@ -72,7 +78,9 @@ def candidates(key: str, columns: list[str], by: str, top: int, n: int, total: i
                     else:
                         scored.append((log_likelihood(count, seen[1] - count, size - count, total - size - seen[1] + count), term, count, seen))
                 floor = -math.inf
-                if len(scored) > top:
+                if top is None:
+                    pass
+                elif len(scored) > top:
                     floor = heapq.nlargest(top, (s[0] for s in scored))[-1] - 2e-6  # scores tie as rounded
                     scored = [s for s in scored if s[0] >= floor]
                 elif len(scored) == top:
@@ -80,7 +88,7 @@ def candidates(key: str, columns: list[str], by: str, top: int, n: int, total: i
                 best: dict[int, float] = {}
                 for term, count in others:
                     if count not in best:
-                        best[count] = count * rarest if by == "tf_idf" else log_likelihood(count, 1, size - count, total - size - 1)
+                        best[count] = count * rarest if by == "tf_idf" else log_likelihood(count, fewest - 1, size - count, total - size - fewest + 1)
                     if best[count] >= floor:
                         ids.append(identity), names.append(term), counts.append(count), sizes.append(size)
                         records.append(None), occurrences.append(None)
@@ -96,19 +104,19 @@ def candidates(key: str, columns: list[str], by: str, top: int, n: int, total: i
 
 
 def distinctive_terms(
-    texts: DataFrame, key: str, columns: list[str], by: str = "tf_idf", top: int = 3, least_records: int = 2, share: float = 0.001, most_shared: int = 100_000
+    texts: DataFrame, key: str, columns: list[str], by: str = "tf_idf", top: int | None = 3, least_records: int = 2, share: float = 0.001, most_shared: int = 100_000
 ) -> DataFrame:
-    """The ``top`` most typical terms of each row: key, term, count, records, tf_idf, log_likelihood, rank.
+    """The ``top`` most typical terms of each row (all if None): key, term, count, records, tf_idf, log_likelihood, rank.
 
-    Only terms of at least ``least_records`` (2 or more) rows count.  Scores are rounded to 6 decimals; ties
+    Only terms of at least ``least_records`` rows count.  Scores are rounded to 6 decimals; ties
     go to the smaller term by code points.  Rows without such a term, among them
     those with null, empty or blank texts, give nothing; an empty table gives an
     empty result.  ``key`` must be unique; extra columns are ignored.
     """
     if by not in ("tf_idf", "log_likelihood"):
         raise ValueError(f"unknown score {by!r}")
-    if least_records < 2:
-        raise ValueError("least_records must be 2 or more")
+    if least_records < 1:
+        raise ValueError("least_records must be 1 or more")
     spark = texts.sparkSession
     counted, n = count_terms(texts, columns)
     counted = materialise(counted, "terms")
@@ -120,7 +128,7 @@ def distinctive_terms(
     shared = {r[0]: (r[2], r[1], math.log(n / r[2])) for r in counted.filter(F.col("records") >= least).collect()}  # at most most_shared rows
     kind = texts.schema[key].dataType.simpleString()
     found = texts.select(key, *columns).mapInArrow(
-        candidates(key, columns, by, top, n, int(total), spark.sparkContext.broadcast(shared)),
+        candidates(key, columns, by, top, n, int(total), spark.sparkContext.broadcast(shared), least_records < 2),
         f"`{key}` {kind}, term string, count bigint, size bigint, records bigint, occurrences bigint",
     )
     found = materialise(found, "scored")
@@ -142,5 +150,6 @@ def distinctive_terms(
         F.round(_log_likelihood(a, b, c, d), 6).alias("log_likelihood"),
     )
     order = Window.partitionBy(key).orderBy(F.col(by).desc(), F.col("term"))
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    ranked = scored.withColumn("rank", F.row_number().over(order))
+    return ranked if top is None else ranked.filter(F.col("rank") <= top)
 

@@ -58,7 +58,7 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p5_log_likelihood(spark: SparkSession, folder: str) -> DataFrame:
-    return distinctive.distinctive_terms(_parsed(spark, folder), "article_no", ["abstract", "body"], by="log_likelihood")
+    return distinctive.distinctive_terms(_parsed(spark, folder), "article_no", ["abstract", "body"], by="log_likelihood", top=None, least_records=1)
 
 
 def _fields(spark: SparkSession, folder: str) -> DataFrame:

@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from lexifold.llm import burst, distinctive
+from lexifold.llm import burst, distinctive, queries
 from lexifold.llm.lexing import terms
 from lexifold.llm.queries import banded
 
@@ -84,3 +84,31 @@ def test_log_likelihood():
     assert distinctive.log_likelihood(0, 10, 10, 10) < 0 < distinctive.log_likelihood(10, 0, 10, 10)
     with pytest.raises(ValueError):
         distinctive.distinctive_terms(None, "k", [], by="x")
+
+
+@pytest.mark.parametrize("by", ["tf_idf", "log_likelihood"])
+def test_all_terms_scored(spark, corpus, by):
+    """Every term of every row, those of a single row too; with a top, these can be among the best."""
+    df = spark.createDataFrame(corpus, "k bigint, a string, b string").repartition(3)
+    held = {k: Counter(t for x in texts for t in terms(x)) for k, *texts in corpus}
+    held = {k: c for k, c in held.items() if c}
+    records, occurrences = Counter(t for c in held.values() for t in c), sum(held.values(), Counter())
+    total = sum(occurrences.values())
+    want = {}
+    for k, c in held.items():
+        size = sum(c.values())
+        for t in c:
+            ratio = distinctive.log_likelihood(c[t], occurrences[t] - c[t], size - c[t], total - size - occurrences[t] + c[t])
+            want[k, t] = (c[t], records[t], c[t] * math.log(len(held) / records[t]), ratio)
+    got = {(r.k, r.term): r for r in distinctive.distinctive_terms(df, "k", ["a", "b"], by, None, 1, 0.05, 20).collect()}
+    assert 1 in records.values() and got.keys() == want.keys()
+    assert all((r["count"], r.records) == want[key][:2] and (r.tf_idf, r.log_likelihood) == pytest.approx(want[key][2:], abs=2e-6) for key, r in got.items())
+    top = {(r.k, r.term) for r in distinctive.distinctive_terms(df, "k", ["a", "b"], by, 2, 1, 0.05, 20).collect()}
+    assert top == {key for key, r in got.items() if r["rank"] <= 2}
+
+
+def test_log_likelihood_query(spark, tmp_path):
+    rows = [(1, "parsed", "alpha beta gamma delta alpha", None), (2, "parsed", "alpha", "beta"), (3, "as_received", "omega", None)]
+    spark.createDataFrame(rows, "article_no bigint, text_state string, abstract string, body string").write.parquet(f"{tmp_path}/articles.parquet")
+    got = {(r.article_no, r.term) for r in queries.p5_log_likelihood(spark, str(tmp_path)).collect()}
+    assert got == {(1, "alpha"), (1, "beta"), (1, "gamma"), (1, "delta"), (2, "alpha"), (2, "beta")}
