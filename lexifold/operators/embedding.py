@@ -160,7 +160,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, by: list[str], key: str, vec
     every row is measured against every query of its group, the query itself left out.
     """
     asked = queries.select(*by, F.col(key).alias("query"), F.col(vector).alias("_q"))
-    met = vectors.join(asked, by) if by else vectors.crossJoin(F.broadcast(asked))
+    met = vectors.join(asked, by) if by else vectors.crossJoin(asked)  # broadcast only if Spark finds one side small
     met = met.filter(F.col(key) != F.col("query")).withColumn("similarity", F.round(cosine(F.col("_q"), F.col(vector)), 6))
     order = Window.partitionBy(*by, "query").orderBy(F.col("similarity").desc(), key)
     return met.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= most).select(*by, "query", key, "similarity", "rank")

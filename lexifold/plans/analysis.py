@@ -279,6 +279,18 @@ def nearest_vectors(spark, folder):
     return E.nearest(vectors, vectors.filter(F.col("vec_id").isin(*VECTOR_QUERIES)), [], "vec_id", "embedding")
 
 
+@query(
+    """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), met AS (
+      SELECT q.vec_id AS query, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6)::DOUBLE AS similarity
+      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
+    SELECT query, vec_id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id)::BIGINT AS rank FROM met QUALIFY rank <= 10"""
+)
+def nearest_vectors_hundredth(spark, folder):
+    """Every row whose id is divisible by 100 as a query, so their number grows with the table."""
+    vectors = load(spark, folder, "embeddings")
+    return E.nearest(vectors, vectors.filter("vec_id % 100 = 0"), [], "vec_id", "embedding")
+
+
 @query(
     """WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
     SELECT a.i::BIGINT AS i, b.i::BIGINT AS j, round(covar_samp(a.x, b.x), 9)::DOUBLE AS covariance FROM e a JOIN e b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY ALL"""

@@ -51,3 +51,25 @@ def test_on_small_tables(spark, name):
     ours = sorted((key(r) for r in df.select(*columns).collect()), key=str)
     theirs = sorted((key(r) for r in connection.sql(registry.ORACLES[name]).select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall()), key=str)
     assert ours == theirs and ours
+
+
+def _both(spark, tables, name, folder):
+    """Sorted rows of the query and of its SQL."""
+    import duckdb
+
+    connection = duckdb.connect()
+    for table in tables:
+        connection.sql(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    df = registry.QUERIES[name](spark, str(folder))
+    columns = sorted(df.columns)
+    return sorted(map(tuple, df.select(*columns).collect())), sorted(connection.sql(registry.ORACLES[name]).select(*[duckdb.ColumnExpression(c) for c in columns]).fetchall())
+
+
+def test_nearest_of_every_hundredth(spark):
+    folder = Path("/root/testdata/sf0.01")
+    if not folder.exists():
+        pytest.skip("no tables here")
+    ours, theirs = _both(spark, ["embeddings"], "nearest_vectors_hundredth", folder)
+    assert ours == theirs
+    df = registry.QUERIES["nearest_vectors_hundredth"](spark, str(folder))
+    assert {r["query"]: r["count"] for r in df.groupBy("query").count().collect()} == {0: 10, 100: 10, 200: 10, 300: 10, 400: 10}
