@@ -250,6 +250,12 @@ def w2v_example_cap(spark, folder):
     return E.capped(E.skipgram_pairs(_sequences(spark, folder)), 1000).select("collection_id", "id", "pos", "k", "center", "target")
 
 
+@query(f"WITH {_WORDS} SELECT collection_id, id, pos, k, center, target FROM ctx QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY article_no, pos, k) <= 60000")
+def w2v_example_cap_full(spark, folder):
+    """The cap at its production value."""
+    return E.capped(E.skipgram_pairs(_sequences(spark, folder))).select("collection_id", "id", "pos", "k", "center", "target")
+
+
 @query(f"WITH {_WORDS} SELECT collection_id, word, place, round(sum(pow(n, 0.75)) OVER (PARTITION BY collection_id ORDER BY place), 6)::DOUBLE AS cumulative FROM w2v")
 def w2v_neg_cdf(spark, folder):
     return E.negative_cdf(E.vocabulary(docs(spark, folder)))

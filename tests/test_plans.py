@@ -73,3 +73,21 @@ def test_nearest_of_every_hundredth(spark):
     assert ours == theirs
     df = registry.QUERIES["nearest_vectors_hundredth"](spark, str(folder))
     assert {r["query"]: r["count"] for r in df.groupBy("query").count().collect()} == {0: 10, 100: 10, 200: 10, 300: 10, 400: 10}
+
+
+def test_example_cap(spark):
+    from lexifold.operators import embedding
+
+    rows = spark.range(60_010).select(F.lit("x").alias("collection_id"), (60_009 - F.col("id")).alias("article_no"), F.lit(0).alias("pos"), F.lit(0).alias("k"))
+    assert embedding.capped(rows).agg(F.count("*"), F.max("article_no")).first()[:] == (60_000, 59_999)
+    assert sorted(r.article_no for r in embedding.capped(rows, 3).collect()) == [0, 1, 2]
+
+
+def test_example_cap_of_query(spark):
+    """A topic of more than 1,000 and fewer than 60,000 pairs keeps them all."""
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no tables here")
+    counts = lambda name: {r.collection_id: r["count"] for r in registry.QUERIES[name](spark, folder).groupBy("collection_id").count().collect()}
+    held, pairs = counts("w2v_example_cap_full"), counts("w2v_pairs_skipgram")
+    assert held == {k: min(n, 60_000) for k, n in pairs.items()} and max(held.values()) > 1_000
