@@ -50,7 +50,10 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_groups(spark: SparkSession, folder: str) -> DataFrame:
-    return neardup.groups(*_links(spark, folder)).select(F.col("id").alias("article_no"), "group", "links")
+    """One row per article; one without abstract or shingles is a group of its own."""
+    grouped = neardup.groups(*_links(spark, folder)).withColumnRenamed("id", "article_no")
+    every = load(spark, folder, "articles").select("article_no").distinct().join(grouped, "article_no", "left")
+    return every.select("article_no", F.coalesce("group", "article_no").alias("group"), F.coalesce("links", F.lit(0).cast("bigint")).alias("links"))
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
