@@ -42,8 +42,7 @@ def tokens(c: Column | str) -> Column:
 
 
 def without_stop_words(words: Column) -> Column:
-    stop = F.array(*map(F.lit, STOP_WORDS))
-    return F.filter(words, lambda w: ~F.array_contains(stop, w))
+    return F.filter(words, lambda w: ~w.isin(*STOP_WORDS))
 
 
 def basic_tokens(c: Column | str) -> Column:

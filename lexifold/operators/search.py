@@ -1,12 +1,14 @@
-"""Boolean and phrase search with BM25 ranking inside each topic.
+"""Boolean and phrase search with BM25 ranking inside each topic, answered from a written index.
 
-A query's terms are few and known, so documents are scored in one pass: each
-document's counts of the query's terms and its length are taken from its own text,
-and only one row per topic is aggregated and joined back.
+A search reads the postings of its own terms only.  A posting carries its
+document's length, so scores need no join with the documents; what a topic adds, its
+number of documents and its frequencies, is one row for each topic and term.
+Phrases are found by the terms' places.  No text is read and no Python runs.
 """
 
 from __future__ import annotations
 
+import html
 import re
 
 import pandas as pd
@@ -15,9 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lexifold.functions import text as X
-from lexifold.functions.porter import stem, stems
+from lexifold.functions.porter import stem
 from lexifold.operators import ranks
-from lexifold.operators.index import whole_text
+from lexifold.operators.index import Index
 
 MODES = ("AND", "OR", "PHRASE")
 K1, B = 1.2, 0.75
@@ -38,95 +40,96 @@ def query_terms(query: str) -> list[str]:
     return list(dict.fromkeys(stem(t) for t in query_tokens(query) if t not in X.STOP_WORDS))
 
 
-def _measured(documents: DataFrame, terms: list[str]) -> DataFrame:
-    held = whole_text(documents).withColumn("_terms", stems(X.without_stop_words(X.tokens("text"))))
-    times = lambda q: F.size(F.filter("_terms", lambda t: t == F.lit(q))).cast("bigint")
-    counted = [times(q).alias(f"tf_{k}") for k, q in enumerate(terms)]
-    return held.select("collection_id", "id", "text", F.size("_terms").cast("bigint").alias("length"), *counted)
+def _weighted(own: DataFrame, topics: DataFrame) -> DataFrame:
+    """Postings of a search with what each adds to its document's score."""
+    frequencies = own.groupBy("collection_id", "term").agg(F.count("*").alias("df")).join(topics, "collection_id")
+    n, df = F.col("documents"), F.col("df")
+    idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
+    weights = frequencies.select("collection_id", "term", idf.alias("idf"), F.greatest(F.col("avg_length"), F.lit(1.0)).alias("usual"))
+    norm = K1 * (1 - B + B * F.col("length") / F.col("usual"))
+    added = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)
+    return own.join(weights, ["collection_id", "term"]).withColumn("added", added)
 
 
-def scored(documents: DataFrame, terms: list[str]) -> DataFrame:
-    """Every document with its counts of the terms and its BM25 score (0 without any)."""
-    held = _measured(documents, terms)
-    frequencies = [F.count_if(F.col(f"tf_{k}") > 0).alias(f"df_{k}") for k in range(len(terms))]
-    topic = held.groupBy("collection_id").agg(F.count("*").alias("n"), F.avg("length").alias("avg_length"), *frequencies)
-    joined = held.join(topic, "collection_id")
-    score = F.lit(0.0)
-    for k in range(len(terms)):
-        tf, df = F.col(f"tf_{k}"), F.col(f"df_{k}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        norm = K1 * (1 - B + B * F.col("length") / F.greatest(F.col("avg_length"), F.lit(1.0)))
-        score = score + F.when(tf > 0, idf * tf * (K1 + 1) / (tf + norm)).otherwise(0.0)
-    return joined.withColumn("score", score)
+def scored(index: Index, terms: list[str]) -> DataFrame:
+    """collection_id, id, score, matched: documents with any of the terms, their BM25 score and how many they hold."""
+    own = index.postings.filter(F.col("term").isin(terms) & (F.col("tf") > 0)).select("collection_id", "term", "id", "tf", "length")
+    return _weighted(own, index.topics).groupBy("collection_id", "id").agg(F.sum("added").alias("score"), F.count("*").alias("matched"))
 
 
-def holds_phrase(phrase: list[str]):
-    """Whether a line of ``text`` holds the stems in a row, stop words among them."""
-    wanted = " " + " ".join(phrase) + " "
-    by_line = F.transform(F.filter(X.lines("text"), lambda line: line != ""), lambda line: F.array_join(X.tokens(line), " "))
-    return F.exists(_stem_lines(by_line), lambda line: F.contains(line, F.lit(wanted)))
+def phrased(index: Index, phrase: list[str]) -> DataFrame:
+    """collection_id, id of documents with a line that holds the stems in a row, stop words among them."""
+    distinct = list(dict.fromkeys(phrase))
+    own = index.postings.filter(F.col("term").isin(distinct)).select("collection_id", "term", "id", "places")
+    at = [F.first(F.when(F.col("term") == t, F.col("places")), ignorenulls=True).alias(f"at_{k}") for k, t in enumerate(distinct)]
+    held = own.groupBy("collection_id", "id").agg(F.count("*").alias("n"), *at).filter(F.col("n") == len(distinct))
+    places = [F.col(f"at_{distinct.index(t)}") for t in phrase]
 
+    def follows(start):
+        found = F.lit(True)
+        for k, places_of in enumerate(places[1:], 1):
+            found = found & F.array_contains(places_of, start + k)
+        return found
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def _stem_lines(arrays: pd.Series) -> pd.Series:
-    return arrays.map(lambda lines: [" " + " ".join(map(stem, line.split(" "))) + " " for line in lines], na_action="ignore")
+    return held.filter(F.exists(places[0], follows)).select("collection_id", "id")
 
 
-def search(documents: DataFrame, query: str, mode: str = "AND", doc_id: str | None = None) -> DataFrame:
-    """collection_id, id, score, rank of each topic's hits, best first, ties by id.
+def hits(index: Index, query: str, mode: str = "AND", doc_id: str | None = None, unknown: str = "none") -> DataFrame:
+    """collection_id, id, score, exact: a search's documents before they are ranked.
 
-    ``doc_id`` narrows the hits to one id; counts stay those of the topic.  AND and OR
-    find nothing for a query of stop words; PHRASE matches stop words too.
+    ``doc_id`` narrows the hits to one id; counts stay those of the topic.  If no topic holds
+    that id, ``unknown`` says what is found: "none", or "all" to search as without it.
+    AND and OR find nothing for a query of stop words; PHRASE matches stop words too.
     """
     if mode not in MODES:
         raise ValueError("Unknown search mode")
+    if unknown not in ("none", "all"):
+        raise ValueError("unknown is none or all")
     terms = query_terms(query)
-    rows = scored(documents, terms)
+    rows = scored(index, terms)
     if mode == "PHRASE":
         phrase = [stem(t) for t in query_tokens(query)]
-        # A phrase's terms must all occur; only those documents are read line by line.
-        found = F.lit(True)
-        for k in range(len(terms)):
-            found = found & (F.col(f"tf_{k}") > 0)
-        rows = rows.filter(found).filter(holds_phrase(phrase)) if phrase else rows.filter(F.lit(False))
-    elif not terms:
-        rows = rows.filter(F.lit(False))
-    else:
-        held = [F.col(f"tf_{k}") > 0 for k in range(len(terms))]
-        found = held[0]
-        for h in held[1:]:
-            found = (found & h) if mode == "AND" else (found | h)
-        rows = rows.filter(found)
-    if doc_id is not None:
+        found = phrased(index, phrase) if phrase else index.counts.select("collection_id", "id").limit(0)
+        rows = found.join(rows, ["collection_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    elif mode == "AND":
+        rows = rows.filter(F.col("matched") == len(terms)) if terms else rows.filter(F.lit(False))
+    if doc_id is not None and not (unknown == "all" and not index.counts.filter(F.col("id") == doc_id).limit(1).count()):
         rows = rows.filter(F.col("id") == doc_id)
-    held = rows.select("collection_id", "id", F.round("score", 6).alias("score"), F.round("score", 9).alias("_exact"))
-    return ranks.ranked(held, ["collection_id"], [F.col("_exact").desc(), F.col("id")]).drop("_exact")
+    return rows.select("collection_id", "id", F.round("score", 6).alias("score"), F.round("score", 9).alias("_exact"))
+
 
+def search(index: Index, query: str, mode: str = "AND", doc_id: str | None = None, top: int | None = None, unknown: str = "none") -> DataFrame:
+    """collection_id, id, score, rank of each topic's hits, best first, ties by id; the ``top`` first, if given."""
+    found = hits(index, query, mode, doc_id, unknown)
+    order = [F.col("_exact").desc(), F.col("id")]
+    placed = ranks.ranked(found, ["collection_id"], order) if top is None else ranks.first_of(found, ["collection_id"], order, top)
+    return placed.drop("_exact")
 
 
-def term_table(frequencies: DataFrame, hits: DataFrame, query: str, mode: str) -> DataFrame:
+def term_table(index: Index, query: str, mode: str) -> DataFrame:
     """Each query stem's part in the search, its documents in the topic and its occurrences in the hits."""
     active = query_terms(query)
-    wanted = frequencies.filter(F.col("term").isin(*query_stems(query)))
+    wanted = document_counts(index, query)
     status = F.lit("phrase") if mode == "PHRASE" else F.when(F.col("term").isin(*active), "effective").otherwise("ignored")
-    marked = wanted.join(hits.select("collection_id", "id", F.lit(1).alias("hit")), ["collection_id", "id"], "left")
+    found = hits(index, query, mode).select("collection_id", "id", F.lit(1).alias("hit"))
+    marked = wanted.join(found, ["collection_id", "id"], "left")
     of_hits = [F.coalesce(F.sum(F.when(F.col("hit") == 1, F.col(c))), F.lit(0)).cast("bigint").alias(c) for c in ("tf_abstract", "tf_body", "tf_full")]
     return marked.groupBy("collection_id", "term").agg(F.count("*").alias("documents"), *of_hits).withColumn("status", status)
 
 
-def _escaped(text: str) -> str:
-    for sign, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
-        text = text.replace(sign, name)
-    return text
+def document_counts(index: Index, query: str) -> DataFrame:
+    """collection_id, id, term, tf_abstract, tf_body, tf_full of the query's stems."""
+    own = index.postings.filter(F.col("term").isin(*query_stems(query)))
+    return own.select("collection_id", "id", "term", "tf_abstract", "tf_body", (F.col("tf_abstract") + F.col("tf_body")).alias("tf_full"))
 
 
 def _marked(text: str, wanted: set[str]) -> str:
     out, at = [], 0
     for m in _TOKEN.finditer(text):
         if stem(m.group().lower().replace("ß", "ss")) in wanted:
-            out.append(f"{_escaped(text[at : m.start()])}<mark>{_escaped(m.group())}</mark>")
+            out.append(f"{html.escape(text[at : m.start()])}<mark>{html.escape(m.group())}</mark>")
             at = m.end()
-    return "".join(out) + _escaped(text[at:])
+    return "".join(out) + html.escape(text[at:])
 
 
 def highlight(query: str):

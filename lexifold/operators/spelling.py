@@ -34,8 +34,8 @@ def candidates(words: DataFrame, vocabulary: DataFrame) -> DataFrame:
     most = F.when(F.length("word") <= 4, 1).otherwise(2)
     asked = words.withColumn("most", most).withColumn("size", F.explode(F.sequence(F.length("word") - F.col("most"), F.length("word") + F.col("most"))))
     held = vocabulary.select("collection_id", F.col("word").alias("candidate"), "n", F.length("word").alias("size"))
-    met = asked.join(held, ["collection_id", "size"]).withColumn("distance", F.levenshtein("word", "candidate").cast("bigint"))
-    return met.filter(F.col("distance") <= F.col("most")).select("collection_id", "word", "candidate", "distance", "n")
+    met = asked.join(held, ["collection_id", "size"]).withColumn("distance", F.levenshtein("word", "candidate", 2).cast("bigint"))  # -1 beyond 2
+    return met.filter((F.col("distance") >= 0) & (F.col("distance") <= F.col("most"))).select("collection_id", "word", "candidate", "distance", "n")
 
 
 def suggestions(words: DataFrame, vocabulary: DataFrame) -> DataFrame:

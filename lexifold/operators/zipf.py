@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
-from lexifold.functions.porter import occurrences
+from lexifold.functions.porter import occurrences, stems
 from lexifold.operators import ranks
 from lexifold.runtime import materialise
 
@@ -85,6 +83,11 @@ def measured(documents: DataFrame, condition: str) -> DataFrame:
     return summary(documents, condition, terms).join(regression(documents, condition, terms), "collection_id", "left")
 
 
+def top_terms(terms: DataFrame, most: int) -> DataFrame:
+    """The ``most`` frequent terms of each topic with their ranks."""
+    return ranks.first_of(terms, ["collection_id"], [F.col("cf").desc(), F.col("term")], most)
+
+
 def regions(documents: DataFrame, condition: str) -> DataFrame:
     """Regression of the high, middle and low thirds of the ranks."""
     terms = ranked(frequencies(documents, condition))
@@ -96,9 +99,29 @@ def regions(documents: DataFrame, condition: str) -> DataFrame:
 
 
 def all_conditions(documents: DataFrame) -> DataFrame:
-    """Summary and regression under each of the four conditions."""
-    zeros = {c: 0.0 for c in ("slope", "intercept", "exponent", "r_squared", "rmse")}
-    return reduce(DataFrame.unionByName, (measured(documents, c).fillna(zeros).withColumn("condition", F.lit(c)) for c in CONDITIONS))
+    """Summary and regression under each of the four conditions.
+
+    One reading of the texts, one aggregation and one ranking serve all four: B's tokens
+    are cut once and C and D are drawn from them, and the condition is a key beside the topic.
+    """
+    found = documents.select("collection_id", "id", X.basic_tokens("abstract").alias("A"), X.tokens("abstract").alias("B"))
+    found = found.withColumn("C", X.without_stop_words(F.col("B"))).withColumn("D", stems(F.col("C")))
+
+    def counted(c: str) -> Column:
+        return F.transform(F.map_entries(occurrences(F.col(c))), lambda e: F.struct(F.lit(c).alias("condition"), e.key.alias("term"), e.value.alias("tf")))
+
+    each = [counted(c) for c in CONDITIONS]
+    terms = found.select("collection_id", F.explode(F.concat(*each)).alias("e")).select("collection_id", "e.*")
+    by = ["collection_id", "condition"]
+    terms = materialise(terms.groupBy(*by, "term").agg(F.sum("tf").alias("cf")), "frequencies")
+    held = terms.groupBy(*by).agg(F.sum("cf").alias("total_tokens"), F.count("*").alias("unique_terms"))
+    fitted = fit(ranks.ranked(terms, by, [F.col("cf").desc(), F.col("term")]), by)
+    every = sizes(documents).withColumn("condition", F.explode(F.array(*map(F.lit, CONDITIONS))))
+    joined = every.join(held, by, "left").join(fitted, by, "left").fillna(0).fillna(0.0)
+    measures = ("slope", "intercept", "exponent", "r_squared", "rmse")
+    return joined.select(
+        "collection_id", "documents", "total_tokens", "unique_terms", F.round(F.col("total_tokens") / F.col("documents"), 6).alias("average_tokens"), *measures, "condition"
+    )
 
 
 def comparison(documents: DataFrame, left: str, right: str, condition: str) -> DataFrame:

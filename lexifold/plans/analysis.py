@@ -9,14 +9,13 @@ from lexifold.operators import embedding as E
 from lexifold.operators import spelling as L
 from lexifold.operators import zipf as Z
 from lexifold.plans import parts as Q
-from lexifold.plans.retrieval import ONE, docs, numbers
+from lexifold.plans.retrieval import ONE, docs, index, numbers
 from lexifold.runtime import load
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 LEFT, RIGHT = "gut-peptides-c894e587", "coastal-sediment-0afb96a1"
 MISSPELT = ("cohrt", "residul", "trainng", "the", "zzzzzz", "cat", "h2o", "seizures")
-VECTOR_QUERIES = (0, 1, 2)
 
 
 def query(sql: str | None = None, name: str | None = None):
@@ -63,7 +62,7 @@ def zipf_ranked(spark, folder):
 
 @query(f"WITH {Q.frequencies('B')} SELECT collection_id, term, cf, rank FROM ranked WHERE rank <= 50")
 def zipf_top50(spark, folder):
-    return Z.ranked(Z.frequencies(docs(spark, folder), "B")).filter("rank <= 50").select("collection_id", "term", "cf", "rank")
+    return Z.top_terms(Z.frequencies(docs(spark, folder), "B"), 50).select("collection_id", "term", "cf", "rank")
 
 
 @query(
@@ -109,7 +108,7 @@ def compare_domains(spark, folder):
 @query(f"WITH {Q.frequencies('C')} SELECT collection_id, term, cf, rank FROM ranked WHERE rank <= 10 AND collection_id IN ('{LEFT}', '{RIGHT}')")
 def compare_top10(spark, folder):
     both = docs(spark, folder).filter(F.col("collection_id").isin(LEFT, RIGHT))
-    return Z.ranked(Z.frequencies(both, "C")).filter("rank <= 10").select("collection_id", "term", "cf", "rank")
+    return Z.top_terms(Z.frequencies(both, "C"), 10).select("collection_id", "term", "cf", "rank")
 
 
 _TERM = Z.query_term(ONE, "D")
@@ -166,8 +165,7 @@ suggested AS (SELECT a.collection_id, a.word, coalesce(candidate, a.word) AS sug
 
 
 def _asked(held):
-    words = F.explode(F.array(*map(F.lit, MISSPELT))).alias("word")
-    return held.select("collection_id").distinct().select("collection_id", words)
+    return held.select("collection_id", F.explode(F.array(*map(F.lit, MISSPELT))).alias("word"))
 
 
 @query(f"WITH {_VOCAB} SELECT * FROM vocabulary")
@@ -177,14 +175,14 @@ def spell_vocab(spark, folder):
 
 @query(f"WITH {_VOCAB}, {_ASKED}, {_NEAR} SELECT * FROM near")
 def spell_candidates(spark, folder):
-    held = docs(spark, folder)
-    return L.candidates(_asked(held), L.vocabulary(held))
+    held = index(spark, folder)
+    return L.candidates(_asked(held.topics), held.words)
 
 
 @query(f"WITH {_VOCAB}, {_ASKED}, {_NEAR}, {_SUGGESTED} SELECT * FROM suggested")
 def spell_suggest(spark, folder):
-    held = docs(spark, folder)
-    return L.suggestions(_asked(held), L.vocabulary(held))
+    held = index(spark, folder)
+    return L.suggestions(_asked(held.topics), held.words)
 
 
 @query(
@@ -193,9 +191,9 @@ def spell_suggest(spark, folder):
       coalesce(string_agg(word || '>' || suggestion, ' ' ORDER BY pos) FILTER (word <> suggestion), '') AS changes FROM words GROUP BY ALL"""
 )
 def spell_query(spark, folder):
-    held = docs(spark, folder)
-    queries = held.select("collection_id").distinct().withColumn("query", F.lit(" ".join(MISSPELT)))
-    return L.corrected(queries, L.vocabulary(held))
+    held = index(spark, folder)
+    queries = held.topics.select("collection_id").withColumn("query", F.lit(" ".join(MISSPELT)))
+    return L.corrected(queries, held.words)
 
 
 @query(
@@ -245,14 +243,8 @@ def w2v_examples_cbow(spark, folder):
     return E.cbow_examples(_sequences(spark, folder)).select("collection_id", "id", "pos", "center", F.array_join("context", " ").alias("context"))
 
 
-@query(f"WITH {_WORDS} SELECT collection_id, id, pos, k, center, target FROM ctx QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY article_no, pos, k) <= 1000")
-def w2v_example_cap(spark, folder):
-    return E.capped(E.skipgram_pairs(_sequences(spark, folder)), 1000).select("collection_id", "id", "pos", "k", "center", "target")
-
-
 @query(f"WITH {_WORDS} SELECT collection_id, id, pos, k, center, target FROM ctx QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY article_no, pos, k) <= 60000")
-def w2v_example_cap_full(spark, folder):
-    """The cap at its production value."""
+def w2v_example_cap(spark, folder):
     return E.capped(E.skipgram_pairs(_sequences(spark, folder))).select("collection_id", "id", "pos", "k", "center", "target")
 
 
@@ -271,27 +263,13 @@ def w2v_train_cbow(spark, folder):
     return E.train(docs(spark, folder), "cbow")
 
 
-_IDS = ", ".join(map(str, VECTOR_QUERIES))
-
-
-@query(
-    f"""WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), met AS (
-      SELECT q.vec_id AS query, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6)::DOUBLE AS similarity
-      FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id IN ({_IDS}))
-    SELECT query, vec_id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id)::BIGINT AS rank FROM met QUALIFY rank <= 10"""
-)
-def nearest_vectors(spark, folder):
-    vectors = load(spark, folder, "embeddings")
-    return E.nearest(vectors, vectors.filter(F.col("vec_id").isin(*VECTOR_QUERIES)), [], "vec_id", "embedding")
-
-
 @query(
     """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), met AS (
       SELECT q.vec_id AS query, v.vec_id, round(list_dot_product(q.e, v.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(v.e, v.e)), 6)::DOUBLE AS similarity
       FROM v q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)
     SELECT query, vec_id, similarity, row_number() OVER (PARTITION BY query ORDER BY similarity DESC, vec_id)::BIGINT AS rank FROM met QUALIFY rank <= 10"""
 )
-def nearest_vectors_hundredth(spark, folder):
+def nearest_vectors(spark, folder):
     """Every row whose id is divisible by 100 as a query, so their number grows with the table."""
     vectors = load(spark, folder, "embeddings")
     return E.nearest(vectors, vectors.filter("vec_id % 100 = 0"), [], "vec_id", "embedding")
@@ -332,9 +310,15 @@ def next_offset(spark, folder):
     return C.next_offsets(load(spark, folder, "import_log"))
 
 
-@query("SELECT collection_id, arg_max(query_text, (created_at, import_no)) AS default_query, arg_max(source, (created_at, import_no)) AS source FROM (SELECT *, coalesce(query_text, '') AS q FROM import_log) GROUP BY ALL")
+@query(
+    """WITH each AS (SELECT collection_id, source, query_text, row_number() OVER (PARTITION BY collection_id, source ORDER BY created_at DESC, import_no DESC) AS n FROM import_log),
+    maps AS (SELECT collection_id, string_agg(source || '=' || coalesce(query_text, '(none)'), ' | ' ORDER BY source) AS source_queries FROM each WHERE n = 1 AND source IS NOT NULL GROUP BY ALL),
+    last AS (SELECT collection_id, query_text AS default_query, source FROM import_log QUALIFY row_number() OVER (PARTITION BY collection_id ORDER BY created_at DESC NULLS LAST, import_no DESC) = 1)
+    SELECT collection_id, default_query, source, source_queries FROM last LEFT JOIN maps USING (collection_id)"""
+)
 def latest_queries(spark, folder):
-    return C.latest_queries(load(spark, folder, "import_log")).select("collection_id", "default_query", "source")
+    each = F.transform(F.array_sort(F.map_entries("source_queries")), lambda e: F.concat(e.key, F.lit("="), F.coalesce(e.value, F.lit("(none)"))))
+    return C.latest_queries(load(spark, folder, "import_log")).select("collection_id", "default_query", "source", F.array_join(each, " | ").alias("source_queries"))
 
 
 @query(

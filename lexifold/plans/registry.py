@@ -13,4 +13,4 @@ ORACLES = {**records.ORACLES, **retrieval.ORACLES, **analysis.ORACLES}
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:
     """The flagship query: a ranked search."""
-    return search.search(retrieval.docs(spark, folder), retrieval.OR, "OR")
+    return search.search(retrieval.index(spark, folder), retrieval.OR, "OR")

@@ -12,7 +12,7 @@ from lexifold.operators import documents as D
 from lexifold.operators import index as N
 from lexifold.operators import search as S
 from lexifold.plans import parts as Q
-from lexifold.runtime import load
+from lexifold.runtime import load, new_path, spread
 
 AND, OR, PHRASE, ONE = "cohort residual", "training the seizure", "the main driver of", "cohorts"
 SCOPE = "PMC3002186"
@@ -33,12 +33,32 @@ def query(sql: str | None = None):
     return register
 
 
+_HELD: dict[tuple[str, str, str], object] = {}
+
+
+def _once(spark: SparkSession, folder: str, what: str, make):
+    """What a session's queries over one folder share, made by the first that asks: a service builds its index once, too."""
+    key = spark.sparkContext.applicationId, folder, what
+    if key not in _HELD:
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def docs(spark: SparkSession, folder: str) -> DataFrame:
-    return D.active(load(spark, folder, "articles"), load(spark, folder, "deleted_documents"))
+    return _once(spark, folder, "docs", lambda: spread(D.active(load(spark, folder, "articles"), load(spark, folder, "deleted_documents"))))
 
 
 def numbers(spark: SparkSession, folder: str) -> DataFrame:
-    return D.numbered(docs(spark, folder), load(spark, folder, "document_numbers"))
+    return _once(spark, folder, "numbers", lambda: D.numbered(docs(spark, folder), load(spark, folder, "document_numbers")))
+
+
+def index(spark: SparkSession, folder: str) -> N.Index:
+    def made() -> N.Index:
+        path = new_path(spark, "index")
+        N.write_index(docs(spark, folder), path)
+        return N.open_index(spark, path)
+
+    return _once(spark, folder, "index", made)
 
 
 @query(f"WITH {Q.DOCS} SELECT collection_id, id, article_no, title FROM docs")
@@ -120,6 +140,19 @@ def collection_stats(spark, folder):
 # --- search ------------------------------------------------------------------
 
 
+@query(f"WITH {Q.scored([])} SELECT dl.collection_id, count(*)::BIGINT AS documents, sum(length)::BIGINT AS length FROM dl GROUP BY ALL")
+def index_build(spark, folder):
+    """The index written anew, and what each topic then holds."""
+    path = new_path(spark, "index")
+    N.write_index(docs(spark, folder), path)
+    return N.open_index(spark, path).counts.groupBy("collection_id").agg(F.count("*").alias("documents"), F.sum("length").alias("length"))
+
+
+@query(f"WITH {Q.TERMS} SELECT collection_id, id, stem AS term, count(*)::BIGINT AS tf FROM trm GROUP BY ALL")
+def index_postings(spark, folder):
+    return index(spark, folder).postings.filter("tf > 0").select("collection_id", "id", "term", "tf")
+
+
 @query(f"SELECT unnest([{Q.listed(S.query_terms(OR))}]) AS term")
 def query_terms(spark, folder):
     return spark.createDataFrame([(t,) for t in S.query_terms(OR)], "term string")
@@ -128,7 +161,7 @@ def query_terms(spark, folder):
 def _search(name: str, text: str, mode: str, doc_id: str | None = None) -> None:
     phrase = [stem(t) for t in S.query_tokens(text)]
     sql = f"WITH {Q.hits(S.query_terms(text), mode, phrase, doc_id)} SELECT * FROM hits"
-    f = lambda spark, folder: S.search(docs(spark, folder), text, mode, doc_id)
+    f = lambda spark, folder: S.search(index(spark, folder), text, mode, doc_id)
     f.__name__ = name
     query(sql)(f)
 
@@ -145,14 +178,15 @@ _search("search_ranked", "cohort cohorts training of seizures", "OR")
 
 @query(f"WITH {Q.scored(S.query_terms(OR))} SELECT collection_id, id, matched::BIGINT AS matched, round(score, 6)::DOUBLE AS score FROM scored")
 def bm25_scores(spark, folder):
-    terms = S.query_terms(OR)
-    matched = sum((F.col(f"tf_{k}") > 0).cast("bigint") for k in range(len(terms)))
-    return S.scored(docs(spark, folder), terms).select("collection_id", "id", matched.alias("matched"), F.round("score", 6).alias("score"))
+    held = index(spark, folder)
+    none = F.lit(0).cast("bigint")
+    every = held.counts.select("collection_id", "id").join(S.scored(held, S.query_terms(OR)), ["collection_id", "id"], "left")
+    return every.select("collection_id", "id", F.coalesce("matched", none).alias("matched"), F.round(F.coalesce("score", F.lit(0.0)), 6).alias("score"))
 
 
 @query(f"WITH {Q.hits(S.query_terms(OR), 'OR')} SELECT *, round(100 * score / max(score) OVER (PARTITION BY collection_id), 4)::DOUBLE AS width FROM hits QUALIFY rank <= 100")
 def search_top100(spark, folder):
-    hits = S.search(docs(spark, folder), OR, "OR").filter("rank <= 100")
+    hits = S.search(index(spark, folder), OR, "OR", top=100)
     best = hits.groupBy("collection_id").agg(F.max("score").alias("best"))
     return hits.join(best, "collection_id").select("collection_id", "id", "score", "rank", F.round(100 * F.col("score") / F.col("best"), 4).alias("width"))
 
@@ -162,9 +196,9 @@ def search_top100(spark, folder):
     sum(sentences)::BIGINT AS sentences FROM hits JOIN counts USING (collection_id, id) GROUP BY ALL"""
 )
 def search_totals(spark, folder):
-    held = docs(spark, folder)
-    found = S.search(held, AND, "AND").select("collection_id", "id")
-    return D.counts(held).join(found, ["collection_id", "id"]).groupBy("collection_id").agg(F.count("*").alias("documents"), *[F.sum(c).alias(c) for c in ("characters", "words", "sentences")])
+    held = index(spark, folder)
+    found = S.hits(held, AND, "AND").select("collection_id", "id")
+    return held.counts.join(found, ["collection_id", "id"]).groupBy("collection_id").agg(F.count("*").alias("documents"), *[F.sum(c).alias(c) for c in ("characters", "words", "sentences")])
 
 
 _FULL = "fst AS MATERIALIZED (SELECT collection_id, id, stem AS term, count(*) FILTER (region = 'abstract') AS a, count(*) FILTER (region = 'body') AS b FROM tok JOIN stemmed USING (token) GROUP BY ALL)"
@@ -177,15 +211,14 @@ _FULL = "fst AS MATERIALIZED (SELECT collection_id, id, stem AS term, count(*) F
     FROM fst LEFT JOIN hits h USING (collection_id, id) WHERE term IN ({Q.listed(S.query_stems(OR))}) GROUP BY ALL"""
 )
 def search_term_table(spark, folder):
-    held = docs(spark, folder)
-    return S.term_table(N.stem_frequencies(held, S.query_stems(OR)), S.search(held, OR, "OR"), OR, "OR")
+    return S.term_table(index(spark, folder), OR, "OR")
 
 
 @query(
     f"WITH {Q.DOCS}, {Q.TOK}, {Q.stems('tok')}, {_FULL} SELECT collection_id, id, term, a::BIGINT AS tf_abstract, b::BIGINT AS tf_body, (a + b)::BIGINT AS tf_full FROM fst WHERE term IN ({Q.listed(S.query_stems(OR))})"
 )
 def doc_term_counts(spark, folder):
-    return N.stem_frequencies(docs(spark, folder), S.query_stems(OR))
+    return S.document_counts(index(spark, folder), OR)
 
 
 @query(
@@ -225,8 +258,8 @@ def safe_csv(spark, folder):
 def csv_results(spark, folder):
     from lexifold.sinks.csv import result_rows
 
-    held = docs(spark, folder)
-    return result_rows(held, S.search(held, OR, "OR"), numbers(spark, folder))
+    held = index(spark, folder)
+    return result_rows(docs(spark, folder), S.search(held, OR, "OR"), numbers(spark, folder), held.counts)
 
 
 # --- identifiers ---------------------------------------------------------------

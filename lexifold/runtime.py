@@ -10,6 +10,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,15 +25,37 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table of fewer files than there are cores, dealt out to all of them; any other table as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's shared folder; a temporary one only where none is set (tests)."""
+    """The session's shared folder.
+
+    Where none is set, a temporary one serves a local session; on a cluster that is an
+    error, as other machines couldn't read it.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
         app = spark.sparkContext.applicationId
-        folder = _OWN_FOLDER.setdefault(app, tempfile.mkdtemp(prefix="lexifold-"))
+        if app not in _OWN_FOLDER:
+            warnings.warn("spark.checkpoint.dir isn't set: a temporary folder of this machine holds the intermediate tables", stacklevel=3)
+            _OWN_FOLDER[app] = tempfile.mkdtemp(prefix="lexifold-")
+        folder = _OWN_FOLDER[app]
     return folder.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    """A fresh path in the shared folder, deleted with its scope or at the end of the process."""
+    path = f"{shared_folder(spark)}/lexifold-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back.
 
@@ -38,15 +63,29 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     and no dependence on executors' local blocks.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/lexifold-{label}-{uuid.uuid4().hex}"
+    path = new_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    _WRITTEN.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scope() -> Iterator[None]:
+    """Intermediate tables written inside are deleted at its end; results drawn from them must be used or written before."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _delete(_WRITTEN[first:])
+        del _WRITTEN[first:]
+
+
 @atexit.register
 def _tidy() -> None:
-    for spark, path in _WRITTEN:
+    _delete(_WRITTEN)
+
+
+def _delete(written: list[tuple[SparkSession, str]]) -> None:
+    for spark, path in written:
         try:
             jvm = spark.sparkContext._jvm
             target = jvm.org.apache.hadoop.fs.Path(path)

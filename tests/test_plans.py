@@ -69,9 +69,9 @@ def test_nearest_of_every_hundredth(spark):
     folder = Path("/root/testdata/sf0.01")
     if not folder.exists():
         pytest.skip("no tables here")
-    ours, theirs = _both(spark, ["embeddings"], "nearest_vectors_hundredth", folder)
+    ours, theirs = _both(spark, ["embeddings"], "nearest_vectors", folder)
     assert ours == theirs
-    df = registry.QUERIES["nearest_vectors_hundredth"](spark, str(folder))
+    df = registry.QUERIES["nearest_vectors"](spark, str(folder))
     assert {r["query"]: r["count"] for r in df.groupBy("query").count().collect()} == {0: 10, 100: 10, 200: 10, 300: 10, 400: 10}
 
 
@@ -84,10 +84,39 @@ def test_example_cap(spark):
 
 
 def test_example_cap_of_query(spark):
-    """A topic of more than 1,000 and fewer than 60,000 pairs keeps them all."""
+    """A topic of fewer than 60,000 pairs keeps them all."""
     folder = "/root/testdata/sf0.001"
     if not Path(folder).exists():
         pytest.skip("no tables here")
     counts = lambda name: {r.collection_id: r["count"] for r in registry.QUERIES[name](spark, folder).groupBy("collection_id").count().collect()}
-    held, pairs = counts("w2v_example_cap_full"), counts("w2v_pairs_skipgram")
+    held, pairs = counts("w2v_example_cap"), counts("w2v_pairs_skipgram")
     assert held == {k: min(n, 60_000) for k, n in pairs.items()} and max(held.values()) > 1_000
+
+
+def test_example_cap_sorts_no_topic(spark):
+    from lexifold.operators import embedding
+
+    rows = spark.range(5000).select(F.when(F.col("id") % 5 > 0, "hot").otherwise("b").alias("collection_id"), (F.col("id") * 7 % 5000).alias("article_no")).crossJoin(spark.range(3).withColumnRenamed("id", "pos"))
+    for most in (1, 2, 100, 2999, 3000, 12_000, 10**6):
+        for steps in (1, 7, 1024):
+            got = embedding.capped(rows, most, steps)
+            want = {}
+            for g, a, p in sorted(map(tuple, rows.collect())) if steps == 1 else ():
+                want.setdefault(g, []).append((a, p))
+            if want:
+                assert sorted(map(tuple, got.collect())) == sorted((g, a, p) for g, rs in want.items() for a, p in rs[:most])
+            assert {r[0]: r[1] for r in got.groupBy("collection_id").count().collect()} == {"hot": min(most, 12_000), "b": min(most, 3000)}
+
+
+def test_ranks_exchange_once(spark):
+    rows = spark.range(100).withColumn("g", F.col("id") % 2)
+    plan = ranks.ranked(rows, ["g"], ["id"])._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan and "Window [row_number" not in plan
+
+
+@pytest.mark.parametrize("name", ["zipf_top50", "compare_top10", "search_top100"])
+def test_top_rows_are_cut_before_the_exchange(spark, name):
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no tables here")
+    assert "WindowGroupLimit" in registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -36,21 +38,51 @@ def test_active(docs):
     assert rows["x", "d2"].article_no == 2 and rows["x", "d2"].title == rows["x", "d3"].title == "(Untitled)" and rows["y", "d1"].abstract == ""
 
 
-def test_bm25(docs):
-    got = [(r.id, r.score, r["rank"]) for r in S.search(docs.filter("collection_id = 'x'"), "cancer", "OR").orderBy("rank").collect()]
+@pytest.fixture(scope="module")
+def index(spark, docs, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("index"))
+    N.write_index(docs, f"{path}/held")
+    return N.open_index(spark, f"{path}/held")
+
+
+def test_index(spark, docs, index, tmp_path):
+    """The written postings are those counted from the texts; an empty collection gives an empty index."""
+    key = lambda df: sorted(map(tuple, df.select("collection_id", "id", "term", "tf").collect()))
+    assert key(index.postings.filter("tf > 0")) == key(N.postings(docs))
+    full = lambda df: sorted(map(tuple, df.select("collection_id", "id", "term", "tf_abstract", "tf_body").collect()))
+    assert full(index.postings) == full(N.stem_frequencies(docs))
+    assert sorted(map(tuple, index.topics.collect())) == sorted(map(tuple, N.statistics(docs).collect()))
+    N.write_index(docs.limit(0), str(tmp_path / "none"))
+    none = N.open_index(spark, str(tmp_path / "none"))
+    assert S.search(none, "cancer", "OR").count() == S.search(none, "the cancer", "PHRASE").count() == 0
+
+
+def test_search_plan(spark, index):
+    """A search reads its terms' postings through a pushed filter, and no Python."""
+    for mode in S.MODES:
+        plan = S.hits(index, "cancer of the gene", mode)._jdf.queryExecution().toString()
+        assert re.search(r"PushedFilters: \[[^\]]*(?:In\(term|EqualTo\(term)", plan) and "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan
+    plan = S.search(index, "cancer", "OR", top=100)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan
+
+
+def test_bm25(index):
+    got = [(r.id, r.score, r["rank"]) for r in S.search(index, "cancer", "OR").filter("collection_id = 'x'").orderBy("rank").collect()]
     # N=3, df=2; lengths 2, 3, 1, so the average is 2
     assert got == [("d2", 0.566580, 1), ("d1", 0.470004, 2)]
 
 
-def test_modes(docs):
-    ids = lambda q, m, d=None: sorted((r.collection_id, r.id) for r in S.search(docs, q, m, d).collect())
+def test_modes(index):
+    ids = lambda q, m, d=None: sorted((r.collection_id, r.id) for r in S.search(index, q, m, d).collect())
     assert ids("cancer gene", "AND") == [("x", "d2")]
     assert set(ids("cancer gene", "AND")) <= set(ids("cancer gene", "OR"))
     assert ids("the of", "OR") == [] and ids("cancer zzz", "AND") == [] and ids("", "PHRASE") == []
     assert ids("in the", "PHRASE") == [("y", "d1")] and ids("cells in", "PHRASE") == []
     assert ids("cancer", "OR", "d1") == [("x", "d1"), ("y", "d1")] and ids("cancer", "OR", "nope") == []
-    with pytest.raises(ValueError):
-        S.search(docs, "x", "NEAR")
+    assert {r.id for r in S.search(index, "cancer", "OR", "nope", unknown="all").collect()} == {"d1", "d2"}
+    for bad in ({"mode": "NEAR"}, {"unknown": "some"}):
+        with pytest.raises(ValueError):
+            S.search(index, "x", **bad)
 
 
 def test_marks(docs):
@@ -108,10 +140,34 @@ def test_embeddings(spark):
     for model in E.MODELS:
         trained = E.train(held, model, dimension=8, epochs=1, tasks=2).collect()
         assert len(trained) == 4 and all(abs(sum(v * v for v in r.vector) - 1) < 1e-9 for r in trained)
+    assert E.train_cbow(held, dimension=8, epochs=1, tasks=2).count() == 4 == E.train_skipgram(held, dimension=8, epochs=1, tasks=2).count()
+    asked = spark.createDataFrame([("x", "alpha"), ("x", "gamm"), ("x", "zzz")], "collection_id string, word string")
+    found = {r.word: r.suggestion for r in E.hints(asked, vocab, L.vocabulary(held)).collect()}
+    assert found == {"gamm": "gamma", "zzz": None}
+    sized = spark.createDataFrame([(0, True), (0, False), (10**9, False)], "n bigint, q boolean").select(E.radius("n", F.col("q")).alias("r"))
+    assert [r.r for r in sized.collect()] == [7.0, 3.3, 6.0]
+    plan = pairs._jdf.queryExecution().toString()
+    assert "array_contains" not in plan
     with pytest.raises(ValueError):
         E.validate("glove")
 
 
+def test_nearest(spark):
+    rows = [(k, "ab"[k % 2], [float(k), 1.0, 2.0]) for k in range(40)] + [(90, "a", None), (91, "a", [0.0, 0.0, 0.0]), (92, "b", [1.0])]
+    vectors = spark.createDataFrame(rows, "k bigint, g string, v array<double>")
+    for by in ([], ["g"]):
+        got = {(r["query"], r.k): r["rank"] for r in E.nearest(vectors, vectors.filter("k % 3 = 0 or k = 91"), by, "k", "v", 4, block=5).collect()}
+        import numpy as np
+
+        unit = {k: np.array(v) / np.linalg.norm(v) for k, _, v in rows[:40]}
+        want = {}
+        for q in range(0, 40, 3):
+            near = sorted((k for k in unit if k != q and (not by or k % 2 == q % 2)), key=lambda k: (-round(float(unit[q] @ unit[k]), 6), k))
+            want |= {(q, k): n for n, k in enumerate(near[:4], 1)}
+        assert got == want
+    assert E.nearest(vectors.limit(0), vectors.limit(0), [], "k", "v").count() == 0
+
+
 def test_projection(spark):
     rows = [(k, [float(k), 2.0 * k + (k % 2), 0.5]) for k in range(10)]
     points, shares = E.projection(spark.createDataFrame(rows, "k bigint, v array<double>"), "k", "v")
