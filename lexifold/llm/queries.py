@@ -36,7 +36,8 @@ def p2_sentences(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p2_sentences(spark, folder).select("article_no", "part", "start_pos", "end_pos")
+    found = sentences.sentences(_parsed(spark, folder), "article_no", ["abstract", "body"], whole=False)
+    return found.select("article_no", "part", "start_pos", "end_pos")
 
 
 def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
