@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexifold.functions.text import strip
+from lexifold.functions.text import BLANK
 from lexifold.llm import bpe, burst, distinctive, markup, mixing, neardup, repetition, sentences
 from lexifold.runtime import load
 
@@ -41,7 +41,7 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _links(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    articles = load(spark, folder, "articles").filter(F.length(strip("abstract")) > 0)
+    articles = load(spark, folder, "articles").filter(F.col("abstract").rlike("[^" + BLANK[1:]))  # ends at the first sign that isn't blank
     return neardup.links(articles, "article_no", ["title", "abstract"])
 
 
