@@ -66,6 +66,30 @@ BLOCKS: tuple[tuple[str, str], ...] = (
     ("markdown", "# Data ##\n\n+ one\n+ two **doses**"),
     ("markdown", "- one dose of drug\n- two doses of drug\n- three doses of drug"),
     ("markdown", "1. one dose of drug\n2. two doses of drug\n3. three doses of drug"),
+    ("markdown", "2. one dose of drug\n3. two doses of drug"),
+    ("markdown", "7) one dose\n8) two doses\n9) three doses"),
+    ("markdown", "10. sites in the north\n11. sites in the south"),
+    ("markdown", "* mice\n* rats"),
+    ("plain", "The second group began on 3. May.\n\n4. June was the last day of the trial."),
+    ("plain", "Doses of 2.\n5 mg were given - and kept - for 3 weeks."),
+    ("plain", "One of the groups (n = 5) had p > 0.1; the range [3, 7] was {wide}."),
+    ("plain", "Weights rose by 3 * 4 g and by 5 * 6 g; see run_id, max_len and min_len."),
+    ("plain", "In the year of the trial many of the patients who had been seen by the team of nurses came back to the ward, and the committee of the hospital saw no reason to end it."),
+    ("tags", "In the year of the trial many of the patients who had been seen by the <i>team</i> of nurses came back to the ward, and the committee of the hospital saw no reason to end it."),
+    ("tags", "<div>One of ten mice.</div><div>Two of ten rats.</div>"),
+    ("tags", "<table><tr><td>ten</td><td>mice</td></tr></table>"),
+    ("tags", "AT&amp;T took part, and R&amp;D costs rose."),
+    ("latex", "In the year of the trial many of the patients who had been seen by the \\textbf{team} of nurses came back to the ward, and the committee of the hospital saw no reason to end it."),
+    ("latex", "\\begin{enumerate}\n\\item mice\n\\item rats\n\\end{enumerate}"),
+    ("latex", "\\chapter{Setting}\n\nWe saw it in \\textsc{ten} sites."),
+    ("latex", "\\section{Data}\n\nIt rose."),
+    ("wiki", "In the year of the trial many of the patients who had been seen by the [[team]] of nurses came back to the ward, and the committee of the hospital saw no reason to end it."),
+    ("wiki", "== Data and more ==\n\nIt rose."),
+    ("wiki", "* [[mice]]\n* [[rats|the rats]]\n** [[old rats]]"),
+    ("markdown", "In the year of the trial many of the patients who had been seen by the **team** of nurses came back to the ward, and the committee of the hospital saw no reason to end it."),
+    ("markdown", "### Data and more\n\nIt rose."),
+    ("markdown", "## Heading\n\n- item of the list"),
+    ("markdown", "See [the site](https://example.invalid/x \"title\") and ![figure](https://example.invalid/y.png)."),
 )
 
 #: Plain sentences put around each labelled field, so that length says nothing about its label.
@@ -74,3 +98,5 @@ PADDING = (
     "The rest of the sites kept the old plan, and the committee of the second trial saw no reason to change it before the end of the year.",
     "It ended. The ratio of dose to age was 3.1 at baseline, and few of the 40 patients who left early had been seen more than once by the same team of nurses.",
 )
+#: And a long text, in which one mark is hardly any of the words.
+PADDING += (" ".join([PADDING[1], PADDING[2]] * 8),)

@@ -1,11 +1,15 @@
 """Markup residue to clean text that keeps headings, lists, code and formulas.
 
-A field is cut into flat text blocks.  Each block is described by its word count,
-its link density, its marks of each markup family, and the same of its
-neighbours; a decision tree trained on the labelled table in ``labelled.py`` says
-which family's markup the block holds, or that it only looks like markup.  Of the
-families its blocks hold, the field's is the one with most marks, and that family's reader
-takes the field apart.  A field without a marked block stays untouched.
+A field is cut into flat text blocks; code stays in one block.  Each block is
+described by its word count and its link density, and by both of its neighbours.
+Link density is the share of a block's words that links and other marks take in, of
+all families together and of each markup family (the marks of a formula or a list
+item, which several families share, apart).  A decision tree trained on the labelled
+table in ``labelled.py`` says which family's markup a block holds, or that it only
+looks like markup.  A field's family is the one with most marks; a block with marks
+of its own family only that the field's family doesn't know is read as what it is.
+Runs of blocks of one family go to that family's reader.  A field without a marked
+block stays untouched.
 """
 
 from __future__ import annotations
@@ -52,11 +56,22 @@ EDGE = re.compile(r"\n[ \t]*\n|(?<=</p>)|(?<=</div>)", re.I)
 
 FAMILIES = ("tags", "latex", "wiki", "markdown")
 MARKS = {"tags": (0, 2), "latex": (3,), "wiki": (1, 5), "markdown": (6,)}  # of ``counts``, each family's own
+#: Marks that no other family's text holds.
+OWN = {
+    "tags": re.compile(r"</?(?:p|div|h[1-6]|ul|ol|li|b|i|em|strong|a|sec|title|list|list-item|italic|bold|xref|table|td|tr|span)\b[^<>]*>", re.I),
+    "latex": re.compile(r"\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{"),
+    "wiki": re.compile(r"'{2,3}\S|\[\[[^\]\n]+\]\]|\{\{[^{}\n]*\}\}|^(={2,6})[^=\n]+\1\s*$|<ref\b", re.M),
+    "markdown": re.compile(r"\[[^\]\n]+\]\(\w+:[^)\s]+\)|(?<![\w*])\*\*(?=\S)[^*\n]+\*\*(?!\w)|^(?:```|~~~)|^#{2,6} +\S", re.M),
+}
+CODE = re.compile(
+    r"^(?P<fence>```+|~~~+)[^\n]*\n.*?(?:^(?P=fence)|\Z)|<(?P<tag>pre|preformat|syntaxhighlight|source)\b[^<>]*>.*?</(?P=tag)\s*>|\\begin\{(?P<env>verbatim|lstlisting|minted|alltt)\*?\}.*?\\end\{(?P=env)",
+    re.M | re.S | re.I,
+)
 
 
 def counts(block: str) -> tuple[int, ...]:
     """Marks of a block: tags, wiki tags, entities, commands, formulas, wiki marks, Markdown marks, items."""
-    tags = wiki_tags = entities = commands = formulas = wiki = markdown = items = 0
+    tags = wiki_tags = entities = commands = formulas = wiki = markdown = 0
     if "<" in block:
         for m in TAG.finditer(block):
             if m.group(1).lower() in ("ref", "syntaxhighlight", "nowiki", "math") and "/math" not in m.group():
@@ -74,48 +89,88 @@ def counts(block: str) -> tuple[int, ...]:
         wiki = sum(1 for _ in WIKI.finditer(block))
     if any(c in block for c in "*_`[#~=-"):
         markdown = sum(1 for _ in MARKDOWN.finditer(block))
-    if any(c in block for c in "*+-#0123456789:;"):
-        items = len(ITEM.findall(block))
-    return tags, wiki_tags, entities, commands, formulas, wiki, markdown, items
-
-
-def features(blocks: list[str]) -> list[tuple[float, ...]]:
-    """Of each block: words, link density, its marks, its neighbours' words, link density and marks, and the field's marks."""
-    own = []
-    for block in blocks:
-        words = len(block.split())
-        linked = sum(len(next(g for g in m.groups() if g is not None).split()) for m in LINK.finditer(block)) if "[" in block or "<" in block or "://" in block else 0
-        own.append((words, linked / words if words else 0.0, *counts(block)))
-    nothing = (0,) * len(own[0]) if own else ()
-    whole = tuple(sum(o[k] for o in own) for k in range(2, len(nothing)))
-    return [
-        (*o, *(own[i - 1] if i else nothing), *(own[i + 1] if i + 1 < len(own) else nothing), *whole)
-        for i, o in enumerate(own)
-    ]
+    return tags, wiki_tags, entities, commands, formulas, wiki, markdown, len(ITEM.findall(block))
+
+
+#: A block's features; the same of the block before and of the one behind follow, and the field's.
+FEATURES = ("words", "link density", *(f"{f} density" for f in FAMILIES), "formula density", "item density")
+
+
+def described(block: str) -> tuple[tuple[float, ...], tuple[int, ...]]:
+    """A block's features and marks."""
+    words = len(block.split())
+    linked = sum(len(next(g for g in m.groups() if g is not None).split()) for m in LINK.finditer(block)) if "[" in block or "<a" in block or "<A" in block or "://" in block else 0
+    marks = counts(block)
+    of = lambda n: min(1.0, n / words) if words else 0.0
+    families = [sum(marks[k] for k in MARKS[f]) for f in FAMILIES]
+    return (float(words), of(linked + sum(families) + marks[4] + marks[7]), *map(of, families), of(marks[4]), of(marks[7])), marks
+
+
+def features(blocks: list[str]) -> tuple[list[tuple[float, ...]], list[tuple[int, ...]]]:
+    """Of each block: its features, its neighbours', the field's densities by family; and its marks."""
+    own, marks = [list(x) for x in zip(*map(described, blocks))] if blocks else ([], [])
+    nothing = (0.0,) * len(FEATURES)
+    words = sum(o[0] for o in own) or 1.0
+    whole = tuple(min(1.0, sum(sum(m[k] for k in MARKS[f]) for m in marks) / words) for f in FAMILIES)
+    return [(*o, *(own[i - 1] if i else nothing), *(own[i + 1] if i + 1 < len(own) else nothing), *whole) for i, o in enumerate(own)], marks
 
 
 def blocks_of(text: str) -> list[str]:
-    return [b for b in EDGE.split(text) if b and not b.isspace()]
+    """Blocks between blank lines and closed paragraphs, with the blanks that follow them; code isn't cut."""
+    kept = [m.span() for m in CODE.finditer(text)] if any(c in text for c in "`~<\\") else []
+    cuts = [m.end() for m in EDGE.finditer(text) if not any(a < m.end() < b for a, b in kept)]
+    out: list[str] = []
+    for first, end in zip([0, *cuts], [*cuts, len(text)]):
+        piece = text[first:end]
+        if out and not piece.strip():
+            out[-1] += piece
+        elif piece:
+            out.append(piece)
+    return out
+
+
+@cache
+def labelled_rows(which: int | None = None, of: int = 3) -> tuple[list, list, list]:
+    """Features, labels and fields' numbers of the labelled table's blocks: all, or without (with, if negative) every ``of``-th field."""
+    rows, labels, numbers = [], [], []
+    for number, (label, field) in enumerate(BLOCKS):
+        if which is not None and (number % of == abs(which) - 1) != (which < 0):
+            continue
+        for pad in PADDING:
+            for padded in {f"{pad} {field}" if pad else field, f"{pad}\n\n{field} {pad}".strip()}:
+                found, marks = features(blocks_of(padded))
+                for row, own in zip(found, marks):
+                    rows.append(row)
+                    labels.append(label if any(own) else "plain")
+                    numbers.append(number)
+    return rows, labels, numbers
 
 
 @cache
 def classifier():
-    rows, labels = [], []
-    for label, field in ((label, padded) for label, field in BLOCKS for pad in PADDING for padded in {f"{pad} {field}" if pad else field, f"{pad}\n\n{field} {pad}".strip()}):
-        for row in features(blocks_of(field)):
-            rows.append(row)
-            marked = any(row[2:10])
-            labels.append(label if marked else "plain")
-    return tree.fit(rows, labels)
+    return tree.fit(*labelled_rows()[:2], depth=12)
+
+
+def families(blocks: list[str]) -> list[str | None]:
+    """Each block's family; all None if nothing in the field is markup."""
+    rows, marks = features(blocks)
+    voted = [tree.classify(classifier(), row) for row in rows]
+    found = set(voted) - {"plain"}
+    if not found:
+        return [None] * len(blocks)
+    own = [{f: sum(m[k] for k in MARKS[f]) for f in FAMILIES} for m in marks]
+    base = max((f for f in FAMILIES if f in found), key=lambda f: sum(o[f] for o in own))
+    if len(found) == 1:
+        return [base] * len(blocks)
+    return [v if v not in ("plain", base) and OWN[v].search(b) and not OWN[base].search(b) else base for v, b in zip(voted, blocks)]
 
 
 def family(text: str) -> str | None:
     """The markup family of a field; None if nothing in it is markup."""
-    if not any(c in text for c in "<&\\$'[{*_`#=~-+1") or text.isspace():
+    if text.isspace():
         return None
-    rows = features(blocks_of(text))
-    voted = {tree.classify(classifier(), row) for row in rows} - {"plain"}
-    return max((f for f in FAMILIES if f in voted), key=lambda f: sum(row[2 + k] for row in rows for k in MARKS[f]), default=None)
+    found = [f for f in families(blocks_of(text)) if f]
+    return Counter(found).most_common(1)[0][0] if found else None
 
 
 # --- readers -----------------------------------------------------------------
@@ -319,11 +374,27 @@ ELEMENTS = {"h": "heading", "l": "list_item", "c": "code_block", "f": "formula"}
 
 def read(text: str | None) -> tuple[str | None, str | None, list[tuple[str, str]]]:
     """Family, clean text and elements (kind, clean text) of a field in reading order; a field without markup is returned as it is."""
-    found = family(text) if text else None
-    if found is None:
+    if not text or text.isspace():
         return None, text, []
+    text_ = text.replace("\r\n", "\n")
+    blocks = blocks_of(text_)
+    voted = families(blocks)
+    if not any(voted):
+        return None, text, []
+    runs: list[list] = []
+    for f, block in zip(voted, blocks):
+        if runs and runs[-1][0] == f:
+            runs[-1][1] += block
+        else:
+            runs.append([f, block])
+    cleaned, elements = zip(*(_read_as(f, piece) for f, piece in runs))
+    return Counter(voted).most_common(1)[0][0], re.sub(r"\n{3,}", "\n\n", "\n\n".join(c for c in cleaned if c)), [e for es in elements for e in es]
+
+
+def _read_as(found: str, text: str) -> tuple[str, list[tuple[str, str]]]:
+    """Clean text and elements of a text of one family."""
     kept, elements = Kept(), []
-    marked = READERS[found](text.replace("\r\n", "\n").replace("\x01", "").replace("\x02", ""), kept)
+    marked = READERS[found](text.replace("\x01", "").replace("\x02", ""), kept)
 
     def words(inner: str) -> str:
         return " ".join(ASIDE.sub(lambda m: kept.held[int(m.group(1))], PLAIN[found](inner)).split())
@@ -346,7 +417,7 @@ def read(text: str | None) -> tuple[str | None, str | None, list[tuple[str, str]
             elements.append((ELEMENTS[x.group()[1]], kept.held[int(x.group(1))]))
     out.append(_lines(PLAIN[found](marked[at:])))
     clean = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", "".join(out)))
-    return found, clean.replace("\x01", "").replace("\x02", "").strip(), elements
+    return clean.replace("\x01", "").replace("\x02", "").strip(), elements
 
 
 def _lines(text: str) -> str:

@@ -66,6 +66,45 @@ def test_held_out():
         assert M.family(text + "\n\n" + "Dry words follow the rain. " * 30) == label
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("<p>A</p>\\section{Data}\n\nIt \\emph{x} rose.", [("heading", "Data")]),
+        ("<p>Few plants grew.</p>\n\n\\section{Data \\emph{x}}\n\nIt rose.", [("heading", "Data x")]),
+        ("<p>Few plants grew.</p>\n\n## Heading\n\n- item\n- other **item**", [("heading", "Heading"), ("list_item", "item"), ("list_item", "other item")]),
+        ("2. a\n3. b", [("list_item", "a"), ("list_item", "b")]),
+        ("7. one plant\n8. two plants\n9. three plants", [("list_item", "one plant"), ("list_item", "two plants"), ("list_item", "three plants")]),
+        ("== Rain ==\n\n# [[one]]\n# two\n\n<pre>\na = [1]\n\n## b\n</pre>", [("heading", "Rain"), ("list_item", "one"), ("list_item", "two"), ("code_block", "a = [1]\n\n## b")]),
+        ("Few **plants** grew.\n\n```\n\\section{a}\n\n<p>b</p>\n```", [("code_block", "\\section{a}\n\n<p>b</p>")]),
+    ],
+)
+def test_blocks_of_several_families(text, want):
+    found, clean, elements_ = M.read(text)
+    assert found and elements_ == want
+    assert "emph" not in clean and "**" not in clean
+
+
+def test_tree_splits_on_words_and_link_density():
+    """Fitted without a third of the labelled fields, it tells their blocks; words and densities are all it has."""
+    used = set()
+
+    def walk(node):
+        if not isinstance(node, str):
+            used.add(node[0])
+            walk(node[2]), walk(node[3])
+
+    right = n = 0
+    for part in (1, 2, 3):
+        fitted = tree.fit(*M.labelled_rows(part)[:2], depth=12)
+        walk(fitted)
+        rows, labels, _ = M.labelled_rows(-part)
+        right += sum(tree.classify(fitted, r) == y for r, y in zip(rows, labels))
+        n += len(rows)
+    names = {M.FEATURES[k % len(M.FEATURES)] for k in used if k < 3 * len(M.FEATURES)}
+    assert {"words", "link density"} & names and any("density" in x for x in names)
+    assert right > 0.9 * n
+
+
 def test_table(spark):
     rows = [(1, "<b>x</b>", None, "c"), (1, "<b>x</b>", None, "c"), (2, None, "", "c"), (3, "<p>" + "long words " * 40_000 + "</p><h1>End</h1>", "plain", "c")]
     df = spark.createDataFrame(rows, "k bigint, a string, b string, elements string")
