@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexifold.functions.text import BLANK
-from lexifold.llm import bpe, burst, distinctive, markup, mixing, neardup, repetition, sentences
+from lexifold.llm import bpe, burst, distinctive, markup, mixing, neardup, perplexity, repetition, sentences
 from lexifold.runtime import load
 
 
@@ -104,6 +104,10 @@ def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     return repetition.repetition(load(spark, folder, "documents")).filter(10 * F.col("n_repeated") >= 3 * F.col("n_letters")).filter("n_letters > 0").select("doc_id")
 
 
+def p9_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    return perplexity.perplexity(load(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_sentences, p3_found, p3_groups, p5_found, p5_log_likelihood, p6_found, p6_clean, p7_ids, p8_found, p8_chosen, p8_shares, p9_found, p9_shares)
+    f.__name__: f for f in (p1_found, p1_terms, p2_found, p2_sentences, p3_found, p3_groups, p5_found, p5_log_likelihood, p6_found, p6_clean, p7_ids, p8_found, p8_chosen, p8_shares, p9_found, p9_shares, p9_perplexity)
 }
