@@ -1,18 +1,21 @@
 """Counting of every distinct term with burst tries.
 
-Each map task keeps one dictionary of its terms and, when its input ends (or the
-dictionary is full), lays the terms out as a burst trie: a node that holds more
-than ``capacity`` terms bursts into one child per next character, so the depth of
-a leaf follows the data.  A leaf leaves the task as one row: its prefix and the
-sorted suffixes with their counters.
-
-Leaves of different tasks for the same part of the vocabulary can sit at
+A burst trie's inner nodes branch on one character each; what hangs below a branch is
+a compact container of suffixes with their two counters, of occurrences and of
+records, until it holds more than ``capacity`` suffixes.  Then it bursts into a node
+with a container per next character, so the depth follows the data.  Each map task
+counts its records into one trie.  Its containers leave the task as rows: the path to
+them and the sorted suffixes with their counters.
+
+Containers of different tasks for the same part of the vocabulary can sit at
 different depths.  They are routed by one common set of adaptive prefixes: a
 prefix is opened if it carries more than 1/``fanout`` of all leaf entries, and a
 term travels under its shortest prefix that isn't open.  At most ``fanout``
 prefixes can be open on each of ``depth`` levels, whatever the size of the
 collection, so the set of open prefixes is small enough to be sent to every task.
-Subtrees that arrive under one route are merged by adding up equal suffixes.
+Containers that arrive under one route are merged into one trie: where a path leads
+nowhere yet the whole container is hung in, where it ends at another container both
+are added up, and where one of them has burst the other follows its branches.
 """
 
 from __future__ import annotations
@@ -21,7 +24,6 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,68 +34,123 @@ LEAVES = "prefix string, suffixes array<string>, occurrences array<bigint>, reco
 MERGED = "term string, occurrences bigint, records bigint"
 
 
-def burst(sorted_terms: list[str], capacity: int) -> Iterator[tuple[str, int, int]]:
-    """Leaves of the trie over sorted distinct terms: prefix, first and end index."""
-    open_nodes = [("", 0, len(sorted_terms))]
-    while open_nodes:
-        prefix, first, end = open_nodes.pop()
-        if end - first <= capacity:
-            if end > first:
-                yield prefix, first, end
-            continue
-        depth = len(prefix)
-        if len(sorted_terms[first]) == depth:  # the prefix itself is a term
-            yield prefix, first, first + 1
-            first += 1
-        while first < end:
-            head = sorted_terms[first][: depth + 1]
-            low, high = first, end
-            while low < high:  # end of the run that starts with head
-                middle = (low + high) // 2
-                if sorted_terms[middle][: depth + 1] <= head:
-                    low = middle + 1
+class Node(dict):
+    """An inner node: children by character; under "" the counters of the term that ends here."""
+
+    __slots__ = ()
+
+
+class Trie:
+    """Terms with occurrences and records; a container is a plain dict of suffixes to both counters."""
+
+    def __init__(self, capacity: int) -> None:
+        self.root, self.capacity, self.size = Node(), capacity, 0
+
+    def add(self, term: str, occurrences: int, records: int, node: Node | None = None, at: int = 0) -> None:
+        """Add to the counters of ``term``, whose first ``at`` characters lead to ``node``."""
+        node = self.root if node is None else node
+        while True:
+            if at == len(term):
+                held, key = node, ""
+                break
+            child = node.get(term[at])
+            if child is None:
+                child = node[term[at]] = {}
+            at += 1
+            if type(child) is dict:
+                held, key = child, term[at:]
+                break
+            node = child
+        counters = held.get(key)
+        if counters is not None:
+            counters[0] += occurrences
+            counters[1] += records
+            return
+        held[key] = [occurrences, records]
+        self.size += 1
+        if type(held) is dict and len(held) > self.capacity:
+            node[term[at - 1]] = self._burst(held)
+
+    def _burst(self, container: dict) -> Node:
+        top = Node()
+        waiting = [(top, container)]
+        while waiting:
+            node, held = waiting.pop()
+            for suffix, counters in held.items():
+                if suffix:
+                    node.setdefault(suffix[0], {})[suffix[1:]] = counters
+                else:
+                    node[""] = counters
+            for head, child in list(node.items()):
+                if head and len(child) > self.capacity:
+                    node[head] = Node()
+                    waiting.append((node[head], child))
+        return top
+
+    def hang(self, prefix: str, suffixes: list[str], occurrences: list[int], records: list[int]) -> None:
+        """Merge a container that sits at ``prefix``."""
+        node = self.root
+        for at, head in enumerate(prefix):
+            child = node.get(head)
+            if child is None and at + 1 == len(prefix):
+                held = dict(zip(suffixes, map(list, zip(occurrences, records))))
+                node[head] = held if len(held) <= self.capacity else self._burst(held)
+                self.size += len(held)
+                return
+            if child is None:
+                child = node[head] = Node()
+            if type(child) is dict:  # a container on the way: its suffixes go on from here
+                for s, o, r in zip(suffixes, occurrences, records):
+                    self.add(prefix + s, o, r, node, at)
+                    if type(node[head]) is not dict:
+                        break
                 else:
-                    high = middle
-            open_nodes.append((head, first, low))
-            first = low
+                    return
+                done = suffixes.index(s) + 1  # it has burst
+                return self.hang(prefix, suffixes[done:], occurrences[done:], records[done:])
+            node = child
+        for s, o, r in zip(suffixes, occurrences, records):
+            self.add(prefix + s, o, r, node, len(prefix))
+
+    def containers(self) -> Iterator[tuple[str, list[tuple[str, list[int]]]]]:
+        """Paths and sorted suffixes with their counters, in order of the terms."""
+        waiting: list[tuple[str, dict]] = [("", self.root)]
+        while waiting:
+            path, held = waiting.pop()
+            if type(held) is dict:
+                yield path, sorted(held.items())
+                continue
+            if "" in held:
+                yield path, [("", held[""])]
+            waiting += [(path + head, held[head]) for head in sorted((h for h in held if h), reverse=True)]
+
+
+_LEAF_TYPES = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
 
 
 def local_tries(columns: list[str], capacity: int, most_terms: int):
-    """Map task: rows of texts to leaves of its burst trie."""
-
-    def leaves(occurrences: Counter, records: Counter, n_records: int) -> pa.RecordBatch:
-        names = sorted(occurrences)
-        rows: dict[str, list] = {k: [] for k in ("prefix", "suffixes", "occurrences", "records", "n_records")}
-        for prefix, first, end in burst(names, capacity):
-            part = names[first:end]
-            rows["prefix"].append(prefix)
-            rows["suffixes"].append([t[len(prefix) :] for t in part])
-            rows["occurrences"].append([occurrences[t] for t in part])
-            rows["records"].append([records[t] for t in part])
-            rows["n_records"].append(0)
-        rows["prefix"].append(None)  # the task's number of records with a term
-        for k in ("suffixes", "occurrences", "records"):
-            rows[k].append([])
-        rows["n_records"].append(n_records)
-        types = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64())
-        return pa.record_batch([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
+    """Map task: rows of texts to the containers of its trie."""
+
+    def leaves(trie: Trie, n_records: int) -> pa.RecordBatch:
+        rows = [(path, [s for s, _ in held], [c[0] for _, c in held], [c[1] for _, c in held], 0) for path, held in trie.containers()]
+        rows.append((None, [], [], [], n_records))  # the task's number of records with a term
+        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), (*_LEAF_TYPES, pa.int64()))], names=["prefix", "suffixes", "occurrences", "records", "n_records"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        occurrences: Counter = Counter()
-        records: Counter = Counter()
-        n_records = 0
+        trie, n_records = Trie(capacity), 0
         for batch in batches:
             for texts in zip(*(batch.column(c).to_pylist() for c in columns)):
                 found = [t for text in texts for t in terms(text)]
                 if found:
                     n_records += 1
-                    occurrences.update(found)
-                    records.update(set(found))
-            if len(occurrences) > most_terms:
-                yield leaves(occurrences, records, n_records)
-                occurrences, records, n_records = Counter(), Counter(), 0
+                    add = trie.add
+                    for term, n in Counter(found).items():
+                        add(term, n, 1)
+            if trie.size > most_terms:
+                yield leaves(trie, n_records)
+                trie, n_records = Trie(capacity), 0
         if n_records:
-            yield leaves(occurrences, records, n_records)
+            yield leaves(trie, n_records)
 
     return task
 
@@ -107,56 +164,51 @@ def route(term: str, opened: frozenset[str]) -> str:
 
 
 def routed(opened: frozenset[str]):
-    """Map task: leaves to leaves under their common routes, cut up where a route lies deeper."""
+    """Map task: containers under their common routes, cut up where a route lies deeper."""
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: dict[str, list] = {k: [] for k in ("route", "terms", "occurrences", "records")}
+            rows = []
             for leaf in batch.to_pylist():
-                prefix = leaf["prefix"]
+                prefix, suffixes = leaf["prefix"], leaf["suffixes"]
                 path = route(prefix, opened)
-                names = [prefix + s for s in leaf["suffixes"]]
                 if prefix and path not in opened:
-                    groups = [(path, 0, len(names))]
-                else:
-                    groups, first = [], 0
-                    for i in range(1, len(names) + 1):
-                        if i == len(names) or route(names[i], opened) != route(names[first], opened):
-                            groups.append((route(names[first], opened), first, i))
-                            first = i
-                for path, first, end in groups:
-                    rows["route"].append(path)
-                    rows["terms"].append(names[first:end])
-                    rows["occurrences"].append(leaf["occurrences"][first:end])
-                    rows["records"].append(leaf["records"][first:end])
-            types = (pa.string(), pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64()))
-            yield pa.record_batch([pa.array(v, t) for v, t in zip(rows.values(), types)], names=list(rows))
+                    rows.append((path, prefix, suffixes, leaf["occurrences"], leaf["records"]))
+                    continue
+                paths = [route(prefix + s, opened) for s in suffixes]
+                first = 0
+                for i in range(1, len(paths) + 1):
+                    if i == len(paths) or paths[i] != paths[first]:
+                        cut = len(paths[first]) - len(prefix)
+                        rows.append((paths[first], paths[first], [s[cut:] for s in suffixes[first:i]], leaf["occurrences"][first:i], leaf["records"][first:i]))
+                        first = i
+            yield pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), *_LEAF_TYPES))], names=["route", "prefix", "suffixes", "occurrences", "records"])
 
     return task
 
 
-def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce task: all subtrees of its routes, merged into one row per term.
+def merged(capacity: int):
+    """Reduce task: the containers of one route after the other, each route merged into one trie and handed on term by term.
 
-    A task's share is bounded by its routes, each at most 1/fanout of all entries.
+    A task holds one route at a time, at most 1/fanout of all entries.
     """
-    entries = []
-    for batch in batches:
-        column = {n: batch.column(n) for n in ("terms", "occurrences", "records")}
-        entries.append(pa.table([c.flatten() for c in column.values()], names=list(column)))
-        if sum(len(e) for e in entries) > 2_000_000:
-            entries = [_added(entries)]
-    if entries:
-        yield from _added(entries).rename_columns(["term", "occurrences", "records"]).to_batches(max_chunksize=50_000)
 
+    def rows(trie: Trie) -> Iterator[pa.RecordBatch]:
+        out = [(path + suffix, *counters) for path, held in trie.containers() for suffix, counters in held]
+        for first in range(0, len(out), 50_000):
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out[first : first + 50_000]), (pa.string(), pa.int64(), pa.int64()))], names=["term", "occurrences", "records"])
 
-def _added(entries: list[pa.Table]) -> pa.Table:
-    table = pa.concat_tables(entries)
-    sums = table.group_by("terms").aggregate([("occurrences", "sum"), ("records", "sum")])
-    return pa.table(
-        [pc.cast(sums.column("terms"), pa.string()), sums.column("occurrences_sum"), sums.column("records_sum")],
-        names=["terms", "occurrences", "records"],
-    )
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, trie = None, Trie(capacity)
+        for batch in batches:
+            for path, *container in zip(*(batch.column(c).to_pylist() for c in ("route", "prefix", "suffixes", "occurrences", "records"))):
+                if path != now:
+                    yield from rows(trie)
+                    now, trie = path, Trie(capacity)
+                trie.hang(*container)
+        yield from rows(trie)
+
+    return task
 
 
 def count_terms(
@@ -182,5 +234,5 @@ def count_terms(
     ).filter("length(prefix) > 0")
     hot = levels.groupBy("prefix").agg(F.sum("load").alias("load")).filter(F.col("load") > total / fanout)
     opened = frozenset(r[0] for r in hot.select("prefix").collect())  # at most fanout * depth rows
-    routes = leaves.mapInArrow(routed(opened), "route string, terms array<string>, occurrences array<bigint>, records array<bigint>")
-    return routes.repartition("route").mapInArrow(merged, MERGED), int(n_records)
+    routes = leaves.mapInArrow(routed(opened), "route string, prefix string, suffixes array<string>, occurrences array<bigint>, records array<bigint>")
+    return routes.repartition("route").sortWithinPartitions("route").mapInArrow(merged(capacity), MERGED), int(n_records)

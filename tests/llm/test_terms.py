@@ -15,11 +15,36 @@ def test_terms():
     assert terms(None) == terms("") == terms(" \n") == []
 
 
-def test_burst():
-    names = sorted({"".join(random.Random(k).choices("abc", k=k % 6 + 1)) for k in range(300)})
-    leaves = list(burst.burst(names, 4))
-    assert sorted(n for p, a, b in leaves for n in names[a:b]) == names
-    assert all(b - a <= 4 and all(n.startswith(p) for n in names[a:b]) for p, a, b in leaves)
+def test_trie():
+    rnd = random.Random(1)
+    names = ["".join(rnd.choices("abc", k=k % 6 + 1)) for k in range(900)] + ["x" * 3000, "x" * 3001, "x" * 3002]
+    for capacity in (1, 4, 5000):
+        trie = burst.Trie(capacity)
+        for n in names:
+            trie.add(n, 2, 1)
+        held = [(path + s, *c) for path, container in trie.containers() for s, c in container]
+        assert held == sorted((n, 2 * k, k) for n, k in Counter(names).items())
+        assert all(len(c) <= capacity for _, c in trie.containers()) and trie.size == len(held)
+
+
+def test_tries_merge_by_subtrees():
+    """Containers of tries of any depths, in any order, make the trie of all terms."""
+    rnd = random.Random(2)
+    names = [["".join(rnd.choices("abcd", k=rnd.randint(1, 7))) for _ in range(300)] for _ in range(6)]
+    for capacity in (1, 7, 1000):
+        hung = []
+        for k, own in enumerate(names):
+            trie = burst.Trie((1, 3, 50)[k % 3])
+            for n in own:
+                trie.add(n, 3, 1)
+            hung += [(path, [s for s, _ in held], [c[0] for _, c in held], [c[1] for _, c in held]) for path, held in trie.containers()]
+        rnd.shuffle(hung)
+        whole = burst.Trie(capacity)
+        for container in hung:
+            whole.hang(*container)
+        want = Counter(n for own in names for n in own)
+        assert {path + s: tuple(c) for path, held in whole.containers() for s, c in held} == {n: (3 * k, k) for n, k in want.items()}
+        assert whole.size == len(want)
 
 
 @pytest.fixture(scope="module")
