@@ -2,21 +2,22 @@
 
 A child table is named by the path to its elements.  Along the path a lone member
 stands for a list of one, so optional lists and changing shapes come out alike.
-Each task turns its payloads into one nested Arrow list column per child; the rows
-are then cut from the column's offsets: parent indices of each level, the position
-inside the parent, and a vectorised take of the record's keys.
+A payload is read once, by Spark's own JSON reader into a variant; a child's path
+through it gives one nested list column.  What reaches Python are that column's Arrow
+buffers: rows are cut from its offsets, the parent indices of each level, the position
+inside the parent, and a vectorised take of the record's keys; no record is walked.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 @dataclass(frozen=True)
@@ -40,38 +41,31 @@ PUBMED_CHILDREN = (
 )
 
 
-def _listed(value) -> list:
-    return value if isinstance(value, list) else [] if value is None else [value]
+def _member(value: Column, name: str) -> Column:
+    return F.try_variant_get(value, f"$['{name}']", "variant")
 
 
-def _text(element) -> str | None:
-    if isinstance(element, dict):
-        element = element.get("#text")
-    return element if isinstance(element, str) else None
+def _listed(value: Column) -> Column:
+    """A variant as an array of variants: nothing for null, a list's elements, else the value alone."""
+    none = F.array().cast("array<variant>")
+    return F.when(value.isNull() | F.is_variant_null(value), none).otherwise(F.coalesce(F.try_variant_get(value, "$", "array<variant>"), F.array(value)))
 
 
-def nested(value, steps: tuple[str, ...], repeats: tuple[str, ...]) -> list:
-    """The elements' texts below ``value`` as lists, one level per repeating member and one for the elements."""
-    member, rest = steps[0], steps[1:]
-    found = value.get(member) if isinstance(value, dict) else None
-    if not rest:
-        return [_text(x) for x in _listed(found)]
-    if member in repeats:
-        return [nested(x, rest, repeats) for x in _listed(found)]
-    if isinstance(found, list):  # a lone member may come as a list of one
-        found = found[0] if len(found) == 1 else None
-    return nested(found, rest, repeats)
+def _text(element: Column) -> Column:
+    """A string, or an object's ``#text`` if that is one."""
+    inner = _member(element, "#text")
+    string = lambda v: F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(v, "$", "string"))
+    return F.coalesce(string(element), string(inner))
 
 
-def parsed(payload: str | None) -> dict | None:
-    """The payload's object; None for null, broken and other payloads."""
-    if not payload:
-        return None
-    try:
-        value = json.loads(payload)
-    except (ValueError, RecursionError):
-        return None
-    return value if isinstance(value, dict) else None
+def nested(value: Column, steps: tuple[str, ...], repeats: tuple[str, ...]) -> Column:
+    """The elements' texts below a variant as nested arrays, one level per repeating member and one for the elements."""
+    member, rest = steps[0], steps[1:]
+    found = _listed(_member(value, member))
+    if not rest:
+        return F.transform(found, _text)
+    below = F.transform(found, lambda v: nested(v, rest, repeats))
+    return below if member in repeats else F.flatten(below)  # a list where one was expected: its parts follow each other
 
 
 def flattened(keys: pa.Array, column: pa.Array, levels: int) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
@@ -89,32 +83,33 @@ def flattened(keys: pa.Array, column: pa.Array, levels: int) -> tuple[pa.Array,
     return keys.take(root), path, position, column
 
 
-def flatten_records(records: DataFrame, key: str, payload: str, children: tuple[Child, ...] = PUBMED_CHILDREN, rows: int = 1000) -> DataFrame:
+def flatten_records(records: DataFrame, key: str, payload: str, children: tuple[Child, ...] = PUBMED_CHILDREN, rows: int = 4000) -> DataFrame:
     """One row per element with text: key, child, parent_path, pos, text.
 
     An element is a string or an object with a string ``#text``; blank texts give no
     row.  ``pos`` counts from 0 in the element's list and counts elements without
     text; ``parent_path`` holds the places of the repeating members, joined by dots.
-    A payload that is null, empty, broken or no JSON object gives no rows.  Repeated
-    records come out each, with their key; other columns are ignored; an empty table
-    gives an empty result.  ``rows`` bounds a task's batch.
+    Where a member that doesn't repeat comes as a list of several, its parts' elements
+    follow each other as one list.  A payload that is null, empty, broken (a repeated
+    name in one object among it) or no JSON object gives no rows.  Repeated records
+    come out each, with their key; other columns are ignored; an empty table gives an
+    empty result.  ``rows`` bounds a task's batch.
     """
+    names = [f"_{k}" for k in range(len(children))]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, rows):
                 batch = whole.slice(first, rows)
-                objects = [parsed(p) for p in batch.column(payload).to_pylist()]
-                for child in children:
-                    levels = len(child.repeats) + 1
-                    kind = pa.string()
-                    for _ in range(levels):
-                        kind = pa.list_(kind)
-                    column = pa.array([nested(o, child.steps, child.repeats) if o else [] for o in objects], kind)
-                    keys, path, position, text = flattened(batch.column(key), column, levels)
+                for child, name in zip(children, names):
+                    keys, path, position, text = flattened(batch.column("_key"), batch.column(name), len(child.repeats) + 1)
                     filled = pc.not_equal(pc.fill_null(pc.utf8_trim_whitespace(text), ""), "")
                     out = [keys, pa.array([child.name] * len(keys), pa.string()), path, position, text]
                     yield pa.record_batch([x.filter(filled) for x in out], names=[key, "child", "parent_path", "pos", "text"])
 
     kind = records.schema[key].dataType.simpleString()
-    return records.select(key, payload).mapInArrow(task, f"`{key}` {kind}, child string, parent_path string, pos bigint, text string")
+    read = records.select(F.col(key).alias("_key"), F.try_parse_json(F.col(payload)).alias("_payload"))
+    columns = [nested(F.col("_payload"), c.steps, c.repeats).alias(n) for c, n in zip(children, names)]
+    # Only records that are read go on; the reading isn't repeated for each path.
+    listed = read.filter(F.col("_payload").isNotNull()).select("_key", *columns)
+    return listed.mapInArrow(task, f"`{key}` {kind}, child string, parent_path string, pos bigint, text string")

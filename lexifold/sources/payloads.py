@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from lexifold.operators.nested import _listed, _text, parsed
 
 SCHEMA = "collection_id string, id string, article_no bigint, title string, abstract string, body string, filename string, doi string, journal string"
 
 
+def parsed(payload: str | None) -> dict | None:
+    """The payload's object; None for null, broken and other payloads."""
+    try:
+        value = json.loads(payload) if payload else None
+    except (ValueError, RecursionError):
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def _listed(value) -> list:
+    return value if isinstance(value, list) else [] if value is None else [value]
+
+
+def _text(element) -> str | None:
+    if isinstance(element, dict):
+        element = element.get("#text")
+    return element if isinstance(element, str) else None
+
+
 def _tidy(text: str | None) -> str:
     return re.sub(r"\s+", " ", text or "").strip()
 
@@ -37,7 +56,8 @@ def document(payload: str | None) -> dict | None:
     parts = []
     for part in _listed(_member(article, "Abstract", "AbstractText")):
         text = _tidy(_text(part))
-        label = (part.get("@Label") or part.get("@NlmCategory") or "").strip() if isinstance(part, dict) else ""
+        named = [part[k].strip() for k in ("@Label", "@NlmCategory") if isinstance(part.get(k), str) and part[k]] if isinstance(part, dict) else []
+        label = named[0] if named else ""
         if text:
             parts.append(f"{label}: {text}" if label and label != "UNASSIGNED" else text)
     located = [x for x in _listed(_member(article, "ELocationID")) if isinstance(x, dict) and str(x.get("@EIdType", "")).lower() == "doi"]
