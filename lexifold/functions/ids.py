@@ -38,9 +38,10 @@ def arxiv(c: Column | str) -> Column:
     return F.when(x.rlike(r"^(?:[0-9]{4}\.[0-9]{4,5}|[A-Za-z][A-Za-z0-9.\-]*/[0-9]{7})$"), F.lower(x))
 
 
-def batch(c: Column | str) -> Column:
-    """Pieces of a pasted list of PMIDs, in order and with repeats."""
-    x = F.regexp_replace(_col(c), r"(?i:PMID)\s*[:#]?\s*(?=[0-9])", "")
+def batch(c: Column | str, kind: str = "pmid") -> Column:
+    """Pieces of a pasted list of PMIDs or arXiv ids, in order and with repeats."""
+    prefix = r"(?i:PMID)\s*[:#]?\s*(?=[0-9])" if kind == "pmid" else r"(?i:arxiv)\s*:\s*(?=[A-Za-z0-9])"
+    x = F.regexp_replace(_col(c), prefix, "")
     return F.filter(F.split(x, r"[\s,;，；]+"), lambda p: p != "")
 
 

@@ -110,3 +110,48 @@ def deletion(documents: DataFrame, collection_id: str, document_id: str) -> Data
     if not found.count():
         raise ValueError("there is no such document")
     return found.select("collection_id", F.col("id").alias("article_id"), F.current_timestamp().alias("deleted_at"))
+
+
+def listed(topics: DataFrame) -> DataFrame:
+    """id, title, query, source, source_queries, count of each topic, missing ones filled."""
+    query = F.coalesce("default_query", F.lit(""))
+    source = F.coalesce("source", F.lit("pubmed"))
+    count = F.coalesce("document_count", F.lit(0))
+    return topics.select(F.col("collection_id").alias("id"), "title", query.alias("query"), source.alias("source"), F.coalesce("source_queries", F.create_map(source, query)).alias("source_queries"), count.alias("count"))
+
+
+def topic(topics: DataFrame, collection_id: str) -> DataFrame:
+    """The topic's row, if there is one."""
+    return topics.filter(F.col("collection_id") == collection_id)
+
+
+def exists(topics: DataFrame, collection_id: str) -> bool:
+    return bool(topic(topics, collection_id).limit(1).count())
+
+
+def first_id(topics: DataFrame) -> str | None:
+    """The topic that was created first; ties to the smaller id; None without topics."""
+    found = topics.select(F.min(F.struct(F.col("created_at").isNull(), "created_at", "collection_id")).alias("f")).first()[0]
+    return found and found[2]
+
+
+def active_topic(topics: DataFrame, wanted: str | None = None) -> str | None:
+    """The topic wanted, where it exists; else the first."""
+    return wanted if wanted is not None and exists(topics, wanted) else first_id(topics)
+
+
+def batch_report(batches: DataFrame, key: str, column: str, kind: str = "pmid", most: int = 200) -> DataFrame:
+    """key, ids, duplicates, error of each pasted list: empty, the first invalid piece, or more than ``most`` different ids.
+
+    A list with an error has no ids.
+    """
+    pieces = F.posexplode_outer(I.batch(column, kind))
+    each = batches.select(key, pieces.alias("at", "piece")).withColumn("id", F.col("piece") if kind == "pmid" else I.arxiv("piece"))
+    bad = F.col("piece").isNotNull() & (~F.col("piece").rlike("^[1-9][0-9]*$") if kind == "pmid" else F.col("id").isNull())
+    listed_ = F.array_sort(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("at", "id"))))  # no more than the list holds
+    joined = each.groupBy(key).agg(F.count("piece").alias("pieces"), F.min(F.when(bad, F.struct("at", "piece"))).alias("bad"), F.array_distinct(F.transform(listed_, lambda x: x.id)).alias("ids"))
+    joined = joined.withColumn("n", F.size("ids"))
+    error = F.when(F.col("pieces") == 0, "empty").when(F.col("bad").isNotNull(), F.concat(F.lit("invalid: "), F.col("bad.piece"))).when(F.col("n") > most, f"more than {most}")
+    joined = joined.withColumn("error", error)
+    fine = F.col("error").isNull()
+    return joined.select(key, F.when(fine, F.col("ids")).otherwise(F.array().cast("array<string>")).alias("ids"), F.when(fine, F.col("pieces") - F.col("n")).otherwise(0).cast("bigint").alias("duplicates"), "error")

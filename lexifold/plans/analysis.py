@@ -412,3 +412,49 @@ def id_batch(spark, folder):
     joined = F.when(F.length("collection_id") % 2 == 0, F.array_join(F.col("l.p"), ",")).otherwise(F.array_join(F.col("l.p"), " ; "))
     lists = records.groupBy("collection_id").agg(listed.alias("l")).select("collection_id", joined.alias("l"))
     return C.parsed_batch(lists, "collection_id", "l")
+
+
+@query(
+    """WITH lists AS (SELECT collection_id, string_agg(coalesce(pmid, ''), ' ; ' ORDER BY record_no) AS l FROM pubmed_records WHERE record_no % 3 > 0 OR length(collection_id) % 2 = 0 GROUP BY collection_id),
+    pieces AS (SELECT collection_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM (SELECT collection_id, list_filter(regexp_split_to_array(regexp_replace(l, '(?i:PMID)\\s*[:#]?\\s*([0-9])', '\\1', 'g'), '[\\s,;，；]+'), lambda x: x <> '') AS p FROM lists)),
+    per AS (SELECT collection_id, count(*) AS n, count(DISTINCT piece) AS d, min(k) FILTER (NOT regexp_matches(piece, '^[1-9][0-9]*$')) AS bad FROM pieces GROUP BY ALL),
+    said AS (SELECT l.collection_id, coalesce(n, 0) AS n, coalesce(d, 0) AS d, CASE WHEN n IS NULL THEN 'empty' WHEN bad IS NOT NULL THEN 'invalid: ' || (SELECT piece FROM pieces p WHERE p.collection_id IS NOT DISTINCT FROM l.collection_id AND k = bad) WHEN d > 200 THEN 'more than 200' END AS error
+      FROM lists l LEFT JOIN per ON l.collection_id IS NOT DISTINCT FROM per.collection_id)
+    SELECT collection_id, CASE WHEN error IS NULL THEN d ELSE 0 END::BIGINT AS ids, CASE WHEN error IS NULL THEN n - d ELSE 0 END::BIGINT AS duplicates, error FROM said"""
+)
+def id_batch_report(spark, folder):
+    records = load(spark, folder, "pubmed_records").filter("record_no % 3 > 0 OR length(collection_id) % 2 = 0")
+    listed = F.array_join(F.sort_array(F.collect_list(F.struct("record_no", F.coalesce("pmid", F.lit("")).alias("p"))))["p"], " ; ")
+    report = C.batch_report(records.groupBy("collection_id").agg(listed.alias("l")), "collection_id", "l")
+    return report.select("collection_id", F.size("ids").cast("bigint").alias("ids"), "duplicates", "error")
+
+
+@query(f"WITH {_WORDS} SELECT collection_id, word, round(CASE WHEN place = 1 THEN 7 ELSE least(6, 3.3 + 0.35 * ln(1 + n)) END, 6)::DOUBLE AS radius FROM w2v")
+def pca_radius(spark, folder):
+    vocabulary = E.vocabulary(docs(spark, folder))
+    return vocabulary.select("collection_id", "word", F.round(E.radius("n", F.col("place") == 1), 6).alias("radius"))
+
+
+@query(
+    f"""WITH {Q.DOCS}, {_PAYLOADS}, known AS (SELECT id FROM docs WHERE collection_id = '{LEFT}' UNION SELECT article_id FROM deleted_documents WHERE collection_id = '{LEFT}'),
+    new AS (SELECT id FROM batch WHERE collection_id = '{LEFT}' AND trim(abstract) <> '' AND id NOT IN (SELECT id FROM known) GROUP BY id)
+    SELECT id, 'held' AS via FROM docs WHERE collection_id = '{LEFT}' UNION ALL SELECT id, 'import' FROM new"""
+)
+def ingest_transaction(spark, folder):
+    """A topic's documents before and after an import of its PubMed deliveries."""
+    from lexifold.operators import ingest as G
+    from lexifold.runtime import new_path
+    from lexifold.sinks import state
+
+    path = new_path(spark, "store")
+    store = G.Store(spark, path)
+    own = docs(spark, folder).filter(F.col("collection_id") == LEFT)
+    state.publish(own.select(*[c.split()[0] for c in G.DOCUMENTS.split(", ")]), f"{path}/documents")
+    deleted = load(spark, folder, "deleted_documents").filter(F.col("collection_id") == LEFT)
+    state.append(deleted.select("collection_id", "article_id", "deleted_at"), f"{path}/deleted")
+    before = store.documents.select("id")
+    batch = _batch(spark, folder).filter(F.col("collection_id") == LEFT)
+    if batch.limit(1).count():
+        G.ingest(store, LEFT, "pubmed", "Gut peptides", lambda query, count, offset: batch)
+    after = store.documents.select("id").join(before, "id", "left_anti")
+    return before.withColumn("via", F.lit("held")).unionByName(after.withColumn("via", F.lit("import")))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from lexifold.operators import search
-from lexifold.plans import analysis, records, retrieval
+from lexifold.plans import analysis, files, records, retrieval
 
-QUERIES = {**records.QUERIES, **retrieval.QUERIES, **analysis.QUERIES}
-ORACLES = {**records.ORACLES, **retrieval.ORACLES, **analysis.ORACLES}
+QUERIES = {**records.QUERIES, **retrieval.QUERIES, **analysis.QUERIES, **files.QUERIES}
+ORACLES = {**records.ORACLES, **retrieval.ORACLES, **analysis.ORACLES, **files.ORACLES}
 
 
 def entry(spark: SparkSession, folder: str) -> DataFrame:

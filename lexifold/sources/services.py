@@ -2,14 +2,21 @@
 
 ``spark.dataSource.register(LiteratureSource)`` and
 ``spark.read.format("literature").option("service", "pubmed").option("query", ...)``.
-A partition fetches one batch of at most 200 records.  The network stands behind a
-transport, a function named by the option ``transport`` as ``module:function`` that
-turns (service, parameters) into bytes; any that reads stored answers works offline.
+A service is asked by one partition, call after call, as it limits how many may come in a
+second.  The network stands behind a transport, a function named by the option
+``transport`` as ``module:function`` that turns (endpoint, parameters) into bytes; any
+that reads stored answers works offline.
+
+Every record a service returns is a row, those without abstract among them, so
+requested, returned and usable records can be counted; an answer without records is
+no rows.
 """
 
 from __future__ import annotations
 
 import importlib
+import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
@@ -19,14 +26,16 @@ from urllib.request import Request, urlopen
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from lexifold.sources.articles import COLUMNS, documents_of
+from lexifold.sources.articles import COLUMNS, arxiv_id, documents_of
 
 BATCH = 200
-#: The services' addresses, pauses in seconds between calls, and attempts.
-SERVICES = {
-    "pubmed": ("https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi", 0.4, 4),
-    "arxiv": ("https://export.arxiv.org/api/query", 3.0, 3),
+#: The endpoints' addresses; each service's pause in seconds between calls, pause after a failure, and attempts.
+ENDPOINTS = {
+    "esearch": "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/esearch.fcgi",
+    "efetch": "https://eutils.ncbi.nlm.nih.gov/entrez/eutils/efetch.fcgi",
+    "arxiv": "https://export.arxiv.org/api/query",
 }
+PACE = {"pubmed": (0.4, 1.5, 4), "arxiv": (3.0, 3.0, 3)}
 
 
 def checked(query: str, count: int, offset: int) -> None:
@@ -36,14 +45,29 @@ def checked(query: str, count: int, offset: int) -> None:
         raise ValueError("10 to 1,000 records from an offset of 0 to 10,000")
 
 
-def over_http(service: str, parameters: dict[str, str]) -> bytes:
-    """The default transport: one call, tried again after server errors and busy answers."""
-    address, pause, attempts = SERVICES[service]
+def checked_ids(service: str, said: str) -> list[str]:
+    """Distinct ids in order; a ValueError for an invalid one, for none, and for more than 200."""
+    pieces = [p for p in re.split(r"[\s,;，；]+", said) if p]
+    if service == "pubmed":
+        pieces = [re.sub(r"(?i)^PMID[:#]?(?=\d)", "", p) for p in pieces]
+        bad = [p for p in pieces if not re.fullmatch(r"[1-9]\d{0,11}", p)]
+        if bad:
+            raise ValueError(f"no PMID: {bad[0]}")
+    else:
+        pieces = [arxiv_id(p) for p in pieces]
+    distinct = list(dict.fromkeys(pieces))
+    if not 1 <= len(distinct) <= BATCH:
+        raise ValueError(f"1 to {BATCH} different ids")
+    return distinct
+
+
+def over_http(endpoint: str, parameters: dict[str, str]) -> bytes:
+    """The default transport: one call, tried again after failures that may pass."""
+    _, wait, attempts = PACE["arxiv" if endpoint == "arxiv" else "pubmed"]
     last: Exception = OSError("no attempt")
-    for attempt in range(attempts):
-        time.sleep(pause * (attempt + 1))
+    for attempt in range(1, attempts + 1):
         try:
-            with urlopen(Request(f"{address}?{urlencode(parameters)}"), timeout=60) as answer:
+            with urlopen(Request(f"{ENDPOINTS[endpoint]}?{urlencode(parameters)}"), timeout=60) as answer:
                 return answer.read()
         except HTTPError as e:
             if e.code != 429 and e.code < 500:
@@ -51,45 +75,62 @@ def over_http(service: str, parameters: dict[str, str]) -> bytes:
             last = e
         except OSError as e:
             last = e
+        if attempt < attempts:
+            time.sleep(wait * attempt)
     raise last
 
 
 @dataclass
-class Batch(InputPartition):
-    parameters: dict[str, str]
+class Calls(InputPartition):
+    """The calls of a read, in order."""
 
-    def __init__(self, parameters: dict[str, str]) -> None:
+    calls: list[tuple[str, dict[str, str]]]
+
+    def __init__(self, calls: list[tuple[str, dict[str, str]]]) -> None:
         super().__init__(None)
-        self.parameters = parameters
+        self.calls = calls
 
 
 class LiteratureReader(DataSourceReader):
     def __init__(self, options: dict[str, str]) -> None:
         self.service = options.get("service", "pubmed")
-        if self.service not in SERVICES:
+        if self.service not in PACE:
             raise ValueError(f"unknown service {self.service!r}")
         self.transport = options.get("transport", f"{__name__}:over_http")
-        self.ids = list(dict.fromkeys(x for x in options.get("ids", "").replace(";", ",").split(",") if x.strip()))
-        self.query, self.count, self.offset = options.get("query", ""), int(options.get("count", 500)), int(options.get("offset", 0))
+        self.pause = float(options.get("pause", PACE[self.service][0]))
+        self.ids = checked_ids(self.service, options["ids"]) if "ids" in options else []
+        self.query, self.count, self.offset = options.get("query", "").strip(), int(options.get("count", 500)), int(options.get("offset", 0))
         if not self.ids:
             checked(self.query, self.count, self.offset)
 
-    def partitions(self) -> list[Batch]:
-        if self.ids:
-            name = "id" if self.service == "pubmed" else "id_list"
-            return [Batch({name: ",".join(self.ids[k : k + BATCH])}) for k in range(0, len(self.ids), BATCH)]
-        starts = range(self.offset, self.offset + self.count, BATCH)
-        sizes = [min(BATCH, self.offset + self.count - s) for s in starts]
-        if self.service == "arxiv":
-            return [Batch({"search_query": self.query, "start": str(s), "max_results": str(n)}) for s, n in zip(starts, sizes)]
-        wanted = f"({self.query}) AND hasabstract[text]"
-        return [Batch({"term": wanted, "retstart": str(s), "retmax": str(n), "retmode": "xml"}) for s, n in zip(starts, sizes)]
-
-    def read(self, partition: Batch) -> Iterator[tuple]:
+    def _call(self, endpoint: str, parameters: dict[str, str]) -> bytes:
         module, _, name = self.transport.partition(":")
-        call: Callable[[str, dict[str, str]], bytes] = getattr(importlib.import_module(module), name)
-        for row in documents_of(f"{self.service}.xml", call(self.service, partition.parameters)):
-            yield tuple(row[c] for c in COLUMNS)
+        transport: Callable[[str, dict[str, str]], bytes] = getattr(importlib.import_module(module), name)
+        return transport(endpoint, parameters)
+
+    def _found(self) -> list[str]:
+        """Ids of a PubMed query's records with abstracts, most relevant first."""
+        asked = {"db": "pubmed", "term": f"({self.query}) AND hasabstract[text]", "retmode": "json", "retmax": str(self.count), "retstart": str(self.offset), "sort": "relevance"}
+        try:
+            return [str(i) for i in json.loads(self._call("esearch", asked))["esearchresult"]["idlist"]]
+        except (KeyError, TypeError, ValueError) as e:
+            raise ValueError(f"no answer to a search: {e}") from e
+
+    def partitions(self) -> list[Calls]:
+        if self.service == "arxiv":
+            if self.ids:
+                return [Calls([("arxiv", {"id_list": ",".join(self.ids), "start": "0", "max_results": str(len(self.ids))})])]
+            starts = range(self.offset, self.offset + self.count, BATCH)
+            return [Calls([("arxiv", {"search_query": self.query, "start": str(s), "max_results": str(min(BATCH, self.offset + self.count - s))}) for s in starts])]
+        ids = self.ids or self._found()
+        return [Calls([("efetch", {"db": "pubmed", "id": ",".join(ids[k : k + BATCH]), "retmode": "xml"}) for k in range(0, len(ids), BATCH)])]
+
+    def read(self, partition: Calls) -> Iterator[tuple]:
+        for number, (endpoint, parameters) in enumerate(partition.calls):
+            if number or endpoint == "efetch" and not self.ids:  # a search went before
+                time.sleep(self.pause)
+            for row in documents_of(f"{self.service}.xml", self._call(endpoint, parameters), needs=("id",)):
+                yield tuple(row[c] for c in COLUMNS)
 
 
 class LiteratureSource(DataSource):

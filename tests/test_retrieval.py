@@ -190,3 +190,34 @@ def test_catalogue(spark, docs):
     with pytest.raises(ValueError):
         C.deletion(docs, "x", "nope")
     assert C.deletion(docs, "x", "d1").count() == 1
+
+
+def test_catalogue_reads(spark):
+    schema = "collection_id string, title string, default_query string, source string, source_queries map<string,string>, created_at timestamp, document_count int"
+    from datetime import datetime
+
+    rows = [("b", "B", None, None, None, datetime(2024, 1, 2), None), ("a", "A", "q", "arxiv", {"arxiv": "q"}, datetime(2024, 1, 3), 4), ("c", "C", "q", "pubmed", None, None, 1)]
+    topics = spark.createDataFrame(rows, schema)
+    listed = {r.id: r for r in C.listed(topics).collect()}
+    assert listed["b"].query == "" and listed["b"].source == "pubmed" and listed["b"].source_queries == {"pubmed": ""} and listed["b"]["count"] == 0
+    assert C.topic(topics, "a").first().title == "A" and C.exists(topics, "a") and not C.exists(topics, "z")
+    assert C.first_id(topics) == "b" and C.active_topic(topics, "c") == "c" and C.active_topic(topics, "z") == C.active_topic(topics) == "b"
+    assert C.first_id(topics.limit(0)) is None and C.active_topic(topics.limit(0), "a") is None
+
+
+def test_batches(spark):
+    lists = [(1, "PMID: 7, 8;7"), (2, " "), (3, None), (4, "7 x9 y"), (5, " ".join(map(str, range(1, 203)))), (6, "arXiv:2010.11929v2，hep-th/9901001 2010.11929"), (7, "2010.1"), (None, "5")]
+    df = spark.createDataFrame(lists, "k int, l string")
+    got = {r.k: (r.ids, r.duplicates, r.error) for r in C.batch_report(df, "k", "l").collect()}
+    assert got[1] == (["7", "8"], 1, None) and got[2] == got[3] == ([], 0, "empty") and got[4] == ([], 0, "invalid: x9") and got[5] == ([], 0, "more than 200") and got[None] == (["5"], 0, None)
+    got = {r.k: (r.ids, r.duplicates, r.error) for r in C.batch_report(df.filter("k > 5"), "k", "l", "arxiv").collect()}
+    assert got == {6: (["2010.11929", "hep-th/9901001"], 1, None), 7: ([], 0, "invalid: 2010.1")}
+
+
+def test_casefold(spark):
+    from lexifold.functions import sql
+
+    sql.register(spark)
+    words = "ΣΊΣΥΦΟΣ Straße ﬁn"
+    assert spark.createDataFrame([(w,) for w in words.split()], "w string").selectExpr("casefold(w) AS f").collect()[0].f == "ΣΊΣΥΦΟΣ".casefold()
+    assert [r.f for r in spark.createDataFrame([("ﬁn",), (None,)], "w string").selectExpr("casefold(w) AS f").collect()] == ["fin", None]
