@@ -1,17 +1,32 @@
 """Building blocks of the comparison SQL: documents, tokens, stems, sentences, scores.
 
 Each starts from the Parquet tables and repeats an operator's definition in
-DuckDB's terms, independent of the operators' own code.
+DuckDB's terms.  Nothing is taken from the operators' code: patterns, word lists and
+Porter's tables stand here once more, so that an error in either shows.
 """
 
 from __future__ import annotations
 
-from lexifold.functions import porter as P
-from lexifold.functions import text as X
+#: Tokens, white space, line ends as RE2 patterns; stop words; abbreviations.
+TOKEN = r"\p{Nd}+(?:\.\p{Nd}+)+|[\p{L}\p{N}]+(?:[''’\-][\p{L}\p{N}]+)*"
+BLANK = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+LINE_END = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x{85}\x{2028}\x{2029}]"
+STOP = """'a', 'about', 'also', 'an', 'and', 'are', 'as', 'at', 'be', 'been', 'being', 'but', 'by', 'can', 'could', 'did', 'do', 'does', 'for', 'from', 'had', 'has', 'have',
+ 'he', 'her', 'his', 'how', 'if', 'in', 'into', 'is', 'it', 'its', 'may', 'might', 'no', 'not', 'of', 'on', 'or', 'our', 'she', 'should', 'such', 'than', 'that', 'the', 'their',
+ 'then', 'these', 'they', 'this', 'those', 'to', 'use', 'used', 'using', 'was', 'we', 'were', 'what', 'when', 'where', 'which', 'who', 'whom', 'will', 'with', 'would', 'you', 'your'"""
+SHORTENED = r"approx|Dr|e\.g|Eq|Eqs|et\s+al|Fig|Figs|i\.e|Mr|Mrs|Ms|No|Prof|vol|vs"
+KEPT, CUT = "\ue000", "\ue001"
+#: Porter's measures as patterns, and suffixes with what stands in their place.
+C, V = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+M_1, M_IS_1, M_2, VOWEL, SHORT = f"^(?:{C})?{V}{C}", f"^(?:{C})?{V}{C}(?:{V})?$", f"^(?:{C})?{V}{C}{V}{C}", f"^(?:{C})?[aeiouy]", f"^{C}[aeiouy][^aeiouwxy]$"
+SECOND = """ational ate, tional tion, enci ence, anci ance, izer ize, bli ble, alli al, entli ent, eli e, ousli ous, ization ize, ation ate, ator ate, alism al,
+ iveness ive, fulness ful, ousness ous, aliti al, iviti ive, biliti ble, logi log"""
+THIRD = "icate ic, ative, alize al, iciti ic, ical ic, ful, ness"
+FOURTH = "ement ance ence able ible ment ant ent ion ism ate iti ous ive ize al er ic ou".split()
 
-TOKEN = X.TOKEN.replace("'", "''")
-BLANK, LINE_END = X.BLANK, X.LINE_END
-STOP = ", ".join(f"'{w}'" for w in X.STOP_WORDS)
+
+def _pairs(table: str) -> list[tuple[str, str]]:
+    return [tuple((entry.split() + [""])[:2]) for entry in table.split(",")]
 
 
 def fold(c: str) -> str:
@@ -76,10 +91,10 @@ def _table(table, word: str, test: str) -> str:
 def stems(source: str) -> str:
     """CTEs ending in stemmed(token, stem) for the distinct tokens of ``source``."""
     step_4 = " ".join(
-        f"WHEN w LIKE '%{s}' THEN CASE WHEN {_m(P.TWO_OR_MORE, f'left(w, -{len(s)})')}"
+        f"WHEN w LIKE '%{s}' THEN CASE WHEN {_m(M_2, f'left(w, -{len(s)})')}"
         + (" AND regexp_matches(left(w, -3), '[st]$')" if s == "ion" else "")
         + f" THEN left(w, -{len(s)}) ELSE w END"
-        for s in sorted(P.STEP_4, key=len, reverse=True)
+        for s in FOURTH
     )
     last = "substr(base, length(base), 1)"
     return f"""
@@ -87,22 +102,22 @@ vocab AS MATERIALIZED (SELECT DISTINCT token FROM {source}),
 p0 AS (SELECT token, token AS w FROM vocab WHERE length(token) > 2 AND regexp_matches(token, '^[a-z]+$')),
 p1 AS (SELECT token, CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, -2) WHEN w LIKE '%ss' THEN w WHEN w LIKE '%s' THEN left(w, -1) ELSE w END AS w FROM p0),
 p2 AS (SELECT token, w, CASE WHEN w LIKE '%eed' THEN NULL
-    WHEN w LIKE '%ed' THEN CASE WHEN {_m(P.HAS_VOWEL, "left(w, -2)")} THEN left(w, -2) END
-    WHEN w LIKE '%ing' THEN CASE WHEN {_m(P.HAS_VOWEL, "left(w, -3)")} THEN left(w, -3) END END AS base FROM p1),
+    WHEN w LIKE '%ed' THEN CASE WHEN {_m(VOWEL, "left(w, -2)")} THEN left(w, -2) END
+    WHEN w LIKE '%ing' THEN CASE WHEN {_m(VOWEL, "left(w, -3)")} THEN left(w, -3) END END AS base FROM p1),
 p3 AS (SELECT token, CASE
-    WHEN w LIKE '%eed' THEN CASE WHEN {_m(P.ONE_OR_MORE, "left(w, -3)")} THEN left(w, -1) ELSE w END
+    WHEN w LIKE '%eed' THEN CASE WHEN {_m(M_1, "left(w, -3)")} THEN left(w, -1) ELSE w END
     WHEN base IS NULL THEN w
     WHEN base LIKE '%at' OR base LIKE '%bl' OR base LIKE '%iz' THEN base || 'e'
     WHEN length(base) > 1 AND {last} = substr(base, length(base) - 1, 1) AND NOT contains('aeiouylsz', {last}) THEN left(base, -1)
-    WHEN {_m(P.EXACTLY_ONE, "base")} AND {_m(P.SHORT_END, "base")} THEN base || 'e'
+    WHEN {_m(M_IS_1, "base")} AND {_m(SHORT, "base")} THEN base || 'e'
     ELSE base END AS w FROM p2),
-p4 AS (SELECT token, CASE WHEN w LIKE '%y' AND {_m(P.HAS_VOWEL, "left(w, -1)")} THEN left(w, -1) || 'i' ELSE w END AS w FROM p3),
-p5 AS (SELECT token, {_table(P.STEP_2, "w", P.ONE_OR_MORE)} AS w FROM p4),
-p6 AS (SELECT token, {_table(P.STEP_3, "w", P.ONE_OR_MORE)} AS w FROM p5),
+p4 AS (SELECT token, CASE WHEN w LIKE '%y' AND {_m(VOWEL, "left(w, -1)")} THEN left(w, -1) || 'i' ELSE w END AS w FROM p3),
+p5 AS (SELECT token, {_table(_pairs(SECOND), "w", M_1)} AS w FROM p4),
+p6 AS (SELECT token, {_table(_pairs(THIRD), "w", M_1)} AS w FROM p5),
 p7 AS (SELECT token, CASE {step_4} ELSE w END AS w FROM p6),
-p8 AS (SELECT token, CASE WHEN w LIKE '%e' AND ({_m(P.TWO_OR_MORE, "left(w, -1)")}
-    OR {_m(P.EXACTLY_ONE, "left(w, -1)")} AND NOT {_m(P.SHORT_END, "left(w, -1)")}) THEN left(w, -1) ELSE w END AS w FROM p7),
-p9 AS (SELECT token, CASE WHEN w LIKE '%ll' AND {_m(P.TWO_OR_MORE, "w")} THEN left(w, -1) ELSE w END AS stem FROM p8),
+p8 AS (SELECT token, CASE WHEN w LIKE '%e' AND ({_m(M_2, "left(w, -1)")}
+    OR {_m(M_IS_1, "left(w, -1)")} AND NOT {_m(SHORT, "left(w, -1)")}) THEN left(w, -1) ELSE w END AS w FROM p7),
+p9 AS (SELECT token, CASE WHEN w LIKE '%ll' AND {_m(M_2, "w")} THEN left(w, -1) ELSE w END AS stem FROM p8),
 stemmed AS MATERIALIZED (SELECT token, coalesce(stem, token) AS stem FROM vocab LEFT JOIN p9 USING (token))"""
 
 
@@ -113,15 +128,15 @@ trm AS MATERIALIZED (SELECT tok.*, stem FROM tok JOIN stemmed USING (token) WHER
 def sentences(column: str) -> str:
     """List expression of a text's sentences."""
     before = r"(^|[^\p{L}\p{N}_])"
-    ends = f".!?。！？{X.KEPT}"
+    ends = f".!?。！？{KEPT}"
     x = strip("line")
-    x = f"regexp_replace({x}, '{before}((?i:{'|'.join(X.ABBREVIATIONS)}))\\.', '\\1\\2{X.KEPT}', 'g')"
+    x = f"regexp_replace({x}, '{before}((?i:{SHORTENED}))\\.', '\\1\\2{KEPT}', 'g')"
     for _ in range(2):  # a match takes in what follows it
-        x = f"regexp_replace({x}, '{before}([A-Z])\\.({BLANK}+[A-Z][a-z])', '\\1\\2{X.KEPT}\\3', 'g')"
+        x = f"regexp_replace({x}, '{before}([A-Z])\\.({BLANK}+[A-Z][a-z])', '\\1\\2{KEPT}\\3', 'g')"
     for _ in range(2):
-        x = f"regexp_replace({x}, '{before}((?:[A-Za-z][.{X.KEPT}])+[A-Za-z])\\.({BLANK}+[a-z])', '\\1\\2{X.KEPT}\\3', 'g')"
-    x = f"regexp_replace({x}, '([{ends}]*[.!?。！？][{ends}]*[\"''”’)\\]]*)({BLANK}|$)', '\\1{X.CUT}\\2', 'g')"
-    each = f"list_transform(string_split({x}, '{X.CUT}'), lambda s: replace({strip('s')}, '{X.KEPT}', '.'))"
+        x = f"regexp_replace({x}, '{before}((?:[A-Za-z][.{KEPT}])+[A-Za-z])\\.({BLANK}+[a-z])', '\\1\\2{KEPT}\\3', 'g')"
+    x = f"regexp_replace({x}, '([{ends}]*[.!?。！？][{ends}]*[\"''”’)\\]]*)({BLANK}|$)', '\\1{CUT}\\2', 'g')"
+    each = f"list_transform(string_split({x}, '{CUT}'), lambda s: replace({strip('s')}, '{KEPT}', '.'))"
     return f"list_filter(flatten(list_transform(regexp_split_to_array({column}, '{LINE_END}'), lambda line: {each})), lambda s: s <> '')"
 
 

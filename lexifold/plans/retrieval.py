@@ -12,7 +12,7 @@ from lexifold.operators import documents as D
 from lexifold.operators import index as N
 from lexifold.operators import search as S
 from lexifold.plans import parts as Q
-from lexifold.runtime import load, new_path, spread
+from lexifold.runtime import kept, load, new_path, spread
 
 AND, OR, PHRASE, ONE = "cohort residual", "training the seizure", "the main driver of", "cohorts"
 SCOPE = "PMC3002186"
@@ -40,7 +40,8 @@ def _once(spark: SparkSession, folder: str, what: str, make):
     """What a session's queries over one folder share, made by the first that asks: a service builds its index once, too."""
     key = spark.sparkContext.applicationId, folder, what
     if key not in _HELD:
-        _HELD[key] = make()
+        with kept():
+            _HELD[key] = make()
     return _HELD[key]
 
 
@@ -283,6 +284,25 @@ def norm_arxiv(spark, folder):
     return load(spark, folder, "articles").select("article_no", I.arxiv("article_id").alias("arxiv"))
 
 
+@query(
+    """SELECT article_no, CASE article_no % 6 WHEN 2 THEN NULL ELSE lower(x) END AS arxiv FROM (SELECT article_no, regexp_replace(article_id[7:], '[vV][1-9][0-9]*$', '') AS x FROM articles
+    WHERE regexp_matches(article_id, '^ARXIV:([0-9]{4}[.][0-9]{4,5}|[A-Za-z-]+/[0-9]{7})$'))"""
+)
+def norm_arxiv_urls(spark, folder):
+    """Ids as they stand in addresses: with version, file ending, percent signs, foreign hosts."""
+    ids = load(spark, folder, "articles").filter(F.col("article_id").rlike(r"^ARXIV:(?:[0-9]{4}[.][0-9]{4,5}|[A-Za-z-]+/[0-9]{7})$"))
+    x, form = F.substring("article_id", 7, 100), F.col("article_no") % 6
+    said = (
+        F.when(form == 0, F.concat(F.lit("https://arxiv.org/abs/"), x))
+        .when(form == 1, F.concat(F.lit(" http://www.arxiv.org/pdf/"), x, F.lit("v12.pdf")))
+        .when(form == 2, F.concat(F.lit("https://arxiv.example.invalid/abs/"), x))
+        .when(form == 3, F.concat(F.lit("arXiv%3A"), F.replace(x, F.lit("/"), F.lit("%2F")), F.lit("v2")))
+        .when(form == 4, F.concat(F.lit("https://export.arxiv.org/abs/"), F.upper(x), F.lit("?context=q-bio")))
+        .otherwise(F.concat(F.lit("ARXIV : "), x))
+    )
+    return ids.select("article_no", I.arxiv(said).alias("arxiv"))
+
+
 @query(
     """SELECT article_no, CASE WHEN regexp_matches(article_id, '^PMC[1-9][0-9]*$') THEN 'https://pmc.ncbi.nlm.nih.gov/articles/' || article_id || '/'
     WHEN regexp_matches(article_id, '^PMID[1-9][0-9]*$') THEN 'https://pubmed.ncbi.nlm.nih.gov/' || article_id[5:] || '/'

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _OWN_FOLDER: dict[str, str] = {}
 _WRITTEN: list[tuple[SparkSession, str]] = []
+_KEPT: list[tuple[SparkSession, str]] = []  # whatever scope they were written in
 
 
 def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -79,9 +80,20 @@ def scope() -> Iterator[None]:
         del _WRITTEN[first:]
 
 
+@contextmanager
+def kept() -> Iterator[None]:
+    """Intermediate tables written inside outlive any scope, as a session's shared ones must."""
+    first = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        _KEPT.extend(_WRITTEN[first:])
+        del _WRITTEN[first:]
+
+
 @atexit.register
 def _tidy() -> None:
-    _delete(_WRITTEN)
+    _delete(_WRITTEN + _KEPT)
 
 
 def _delete(written: list[tuple[SparkSession, str]]) -> None:

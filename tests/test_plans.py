@@ -120,3 +120,28 @@ def test_top_rows_are_cut_before_the_exchange(spark, name):
     if not Path(folder).exists():
         pytest.skip("no tables here")
     assert "WindowGroupLimit" in registry.QUERIES[name](spark, folder)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scopes(spark, tmp_path):
+    """A scope deletes its tables at its end, but for those that outlive it."""
+    from lexifold import runtime
+
+    with runtime.scope():
+        gone = runtime.materialise(spark.range(3), "gone")
+        with runtime.kept():
+            held = runtime.materialise(spark.range(4), "held")
+        assert gone.count() == 3
+    assert held.count() == 4 and not Path(gone.inputFiles()[0].removeprefix("file://")).exists()
+
+
+def test_shared_folder():
+    """Without a shared folder a cluster's session is refused, a local one warned."""
+    from types import SimpleNamespace
+
+    from lexifold import runtime
+
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master, applicationId="a-test"))
+    with pytest.raises(RuntimeError):
+        runtime.shared_folder(session("spark://host:7077"))
+    with pytest.warns(UserWarning):
+        assert runtime.shared_folder(session("local[2]"))
