@@ -39,10 +39,11 @@ def known_ids(documents: DataFrame, deleted: DataFrame) -> DataFrame:
 
 
 def new_records(batch: DataFrame, known: DataFrame) -> DataFrame:
-    """A batch's first rows with an abstract whose ids the topic doesn't know."""
-    order = Window.partitionBy("collection_id", "id").orderBy("article_no")
+    """A batch's first rows, by ``article_no`` (unique), with an abstract whose ids the topic doesn't know."""
     usable = batch.filter(X.strip("abstract") != "")
-    first = usable.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n")
+    keys = ["collection_id", "id", "article_no"]
+    first = usable.groupBy("collection_id", "id").agg(F.min("article_no").alias("article_no"))
+    first = usable.join(first.select("article_no"), "article_no", "left_semi").dropDuplicates(keys).select(*batch.columns)
     return first.join(known, ["collection_id", "id"], "left_anti")
 
 

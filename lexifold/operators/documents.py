@@ -6,7 +6,7 @@ join begins with it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexifold.functions import text as X
@@ -24,12 +24,13 @@ def uniform(articles: DataFrame) -> DataFrame:
 def keep_first(documents: DataFrame, few: int = 1_000_000) -> DataFrame:
     """The first of a topic's rows with one id, by arrival (``article_no``, unique).
 
-    Only keys are shuffled to find the later rows.  If they are ``few`` (8 MB) they
-    are sent to the texts, else both meet in a shuffle.
+    Only keys are shuffled to find the later rows: the first of each id is an aggregate,
+    so an id that any part of all rows have is combined before it moves, and what is no
+    first is told by its own number.  If the later rows are ``few`` (8 MB) they are sent to the
+    texts, else both meet in a shuffle.
     """
-    order = Window.partitionBy("collection_id", "id").orderBy("article_no")
-    keys = documents.select("collection_id", "id", "article_no").withColumn("_n", F.row_number().over(order))
-    later = materialise(keys.filter("_n > 1").select("article_no"), "later")
+    first = documents.groupBy("collection_id", "id").agg(F.min("article_no").alias("article_no"))
+    later = materialise(documents.select("article_no").join(first.select("article_no"), "article_no", "left_anti"), "later")
     later = F.broadcast(later) if later.count() <= few else later
     return documents.join(later, "article_no", "left_anti").select(*documents.columns)
 

@@ -458,3 +458,14 @@ def ingest_transaction(spark, folder):
         G.ingest(store, LEFT, "pubmed", "Gut peptides", lambda query, count, offset: batch)
     after = store.documents.select("id").join(before, "id", "left_anti")
     return before.withColumn("via", F.lit("held")).unionByName(after.withColumn("via", F.lit("import")))
+
+
+@query(
+    f"""WITH {_WORDS}, {Q.TOK}, spelt AS (SELECT collection_id, token AS word, count(*)::BIGINT AS n FROM tok WHERE token NOT IN ({Q.STOP}) AND regexp_matches(token, '^\\p{{L}}+$') GROUP BY ALL),
+    vocabulary AS MATERIALIZED (SELECT s.collection_id, s.word, s.n FROM spelt s JOIN w2v USING (collection_id, word)), {_ASKED}, {_NEAR}, {_SUGGESTED}
+    SELECT collection_id, word, CASE WHEN suggestion <> word THEN suggestion END AS suggestion FROM suggested s WHERE NOT EXISTS (SELECT 1 FROM w2v WHERE w2v.collection_id = s.collection_id AND w2v.word = s.word)"""
+)
+def w2v_hints(spark, folder):
+    """For words without a vector, a near one that has one."""
+    held = index(spark, folder)
+    return E.hints(_asked(held.topics), E.vocabulary(docs(spark, folder)), held.words)

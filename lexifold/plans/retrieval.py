@@ -177,6 +177,12 @@ _search("search_scoped", "metabolite plots", "OR", SCOPE)
 _search("search_ranked", "cohort cohorts training of seizures", "OR")
 
 
+@query(f"WITH {Q.hits(S.query_terms('metabolite plots'), 'OR')} SELECT * FROM hits")
+def search_scope_unknown(spark, folder):
+    """A scope that no topic holds, where the caller wants it passed over."""
+    return S.search(index(spark, folder), "metabolite plots", "OR", "no such id", unknown="all")
+
+
 @query(f"WITH {Q.scored(S.query_terms(OR))} SELECT collection_id, id, matched::BIGINT AS matched, round(score, 6)::DOUBLE AS score FROM scored")
 def bm25_scores(spark, folder):
     held = index(spark, folder)
