@@ -70,3 +70,8 @@ def link(c: Column | str) -> Column:
         .when(x.rlike(r"^PMID[1-9][0-9]*$"), F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), F.substring(x, 5, 40), F.lit("/")))
         .when(x.startswith("ARXIV:"), F.concat(F.lit("https://arxiv.org/abs/"), F.substring(x, 7, 400)))
     )
+
+
+def download_name(number: Column | str, filename: Column | str) -> Column:
+    """``article-007.xml``: a document's number and its file's ending."""
+    return F.concat(F.format_string("article-%03d", _col(number)), F.regexp_extract(_col(filename), r"(\.[^./]*)$", 1))

@@ -469,3 +469,44 @@ def w2v_hints(spark, folder):
     """For words without a vector, a near one that has one."""
     held = index(spark, folder)
     return E.hints(_asked(held.topics), E.vocabulary(docs(spark, folder)), held.words)
+
+
+@query(f"SELECT '{_TERM}' AS term")
+def query_term(spark, folder):
+    return spark.createDataFrame([(Z.query_term(f"the {ONE} of", "D"),)], "term string")
+
+
+@query(
+    """SELECT collection_id AS id, title, coalesce(default_query, '') AS query, coalesce(source, 'pubmed') AS source, coalesce(document_count, 0)::INT AS count,
+    CASE WHEN source_queries IS NULL THEN coalesce(source, 'pubmed') || '=' || coalesce(default_query, '') ELSE array_to_string(list_sort(list_transform(map_entries(source_queries), lambda e: e.key || '=' || coalesce(e.value, ''))), ' | ') END AS source_queries FROM collections"""
+)
+def collection_list(spark, folder):
+    each = F.transform(F.map_entries("source_queries"), lambda e: F.concat(e.key, F.lit("="), F.coalesce(e.value, F.lit(""))))
+    return C.listed(load(spark, folder, "collections")).withColumn("source_queries", F.array_join(F.array_sort(each), " | "))
+
+
+@query(f"WITH {Q.DOCS} SELECT c.collection_id, count(d.id)::INT AS document_count FROM collections c LEFT JOIN docs d USING (collection_id) GROUP BY ALL")
+def collection_recount(spark, folder):
+    return C.recounted(load(spark, folder, "collections"), docs(spark, folder)).select("collection_id", "document_count")
+
+
+@query("SELECT arg_min(collection_id, (created_at, collection_id)) AS collection_id FROM collections WHERE created_at IS NOT NULL")
+def active_topic(spark, folder):
+    return spark.createDataFrame([(C.active_topic(load(spark, folder, "collections"), "no such topic"),)], "collection_id string")
+
+
+@query(f"WITH {Q.DOCS}, gone AS (SELECT min(id) AS id FROM docs WHERE collection_id = '{LEFT}') SELECT collection_id, id FROM docs WHERE NOT (collection_id = '{LEFT}' AND id = (SELECT id FROM gone))")
+def document_deleted(spark, folder):
+    """The held documents after one more is deleted."""
+    from lexifold.operators import documents as D
+
+    held = docs(spark, folder)
+    first = held.filter(F.col("collection_id") == LEFT).agg(F.min("id")).first()[0]
+    deleted = load(spark, folder, "deleted_documents").select("collection_id", "article_id", "deleted_at")
+    more = C.deletion(held, LEFT, first).select(*deleted.columns) if first is not None else deleted.limit(0)
+    return D.active(load(spark, folder, "articles"), deleted.unionByName(more)).select("collection_id", "id")
+
+
+@query(f"WITH {Q.DOCS} SELECT collection_id, id FROM docs WHERE collection_id <> '{LEFT}'")
+def collection_deleted(spark, folder):
+    return C.without(docs(spark, folder), LEFT).select("collection_id", "id")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -237,12 +239,34 @@ def library_filter(spark, folder):
     return S.library(docs(spark, folder), numbers(spark, folder), "cohort PMID")
 
 
-@query()
+def _pieces(text: str, source: str, stemmed: str) -> str:
+    """Select of collection_id, id and the marked text: tokens and the signs between them, put together again."""
+    escaped = "replace(replace(replace(replace(replace(p, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+    return f"""SELECT collection_id, id, coalesce(string_agg(CASE WHEN stem IN ({Q.listed(S.query_stems(OR))}) THEN '<mark>' || {escaped} || '</mark>' ELSE {escaped} END, '' ORDER BY k), '') AS marked FROM (
+      SELECT collection_id, id, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM (SELECT collection_id, id, regexp_extract_all({text}, '(?s){Q.TOKEN}|.') AS l FROM {source})) LEFT JOIN {stemmed} s ON s.token = {Q.fold("p")} GROUP BY ALL"""
+
+
+@query(
+    f"""WITH {Q.DOCS}, {Q.TOK}, {Q.stems('tok')}, m AS ({_pieces('abstract', 'docs', 'stemmed')}) SELECT d.collection_id, d.id, coalesce(m.marked, '') AS marked FROM docs d LEFT JOIN m USING (collection_id, id)"""
+)
 def highlight(spark, folder):
     return docs(spark, folder).select("collection_id", "id", S.highlight(OR)("abstract").alias("marked"))
 
 
-@query()
+def _renamed(sql: str) -> str:
+    return re.sub(r"\b(vocab|stemmed|p)(\d?)\b", lambda m: m.group() if m.group() == "p" else f"cut_{m.group()}", sql)
+
+
+@query(
+    f"""WITH {Q.DOCS}, {Q.TOK}, {Q.stems('tok')}, whole AS MATERIALIZED (SELECT collection_id, id, CASE WHEN abstract = '' THEN body WHEN body = '' THEN abstract ELSE abstract || chr(10) || body END AS text FROM docs),
+    each AS (SELECT collection_id, id, p, k, sum(length(p)) OVER (PARTITION BY collection_id, id ORDER BY k) - length(p) AS off FROM (
+      SELECT collection_id, id, unnest(l) AS p, generate_subscripts(l, 1) AS k FROM (SELECT collection_id, id, regexp_extract_all(text, '(?s){Q.TOKEN}|.') AS l FROM whole))),
+    hit AS (SELECT collection_id, id, min(off) AS off FROM each JOIN stemmed s ON s.token = {Q.fold("p")} WHERE stem IN ({Q.listed(S.query_stems(OR))}) GROUP BY ALL),
+    slice AS MATERIALIZED (SELECT collection_id, id, start, length(text) AS n, substr(text, start + 1, 420) AS t FROM (SELECT w.*, greatest(0, coalesce(off, 0) - 100)::BIGINT AS start FROM whole w LEFT JOIN hit USING (collection_id, id))),
+    slice_tok AS (SELECT {Q.fold("t2")} AS token FROM (SELECT unnest(regexp_extract_all(t, '{Q.TOKEN}')) AS t2 FROM slice)), {_renamed(Q.stems('slice_tok'))},
+    m AS ({_pieces('t', 'slice', 'cut_stemmed')})
+    SELECT s.collection_id, s.id, CASE WHEN start > 0 THEN '…' ELSE '' END || coalesce(marked, '') || CASE WHEN start + 420 < n THEN '…' ELSE '' END AS snippet FROM slice s LEFT JOIN m USING (collection_id, id)"""
+)
 def snippet(spark, folder):
     return N.whole_text(docs(spark, folder)).select("collection_id", "id", S.snippet(OR)("text").alias("snippet"))
 
@@ -333,3 +357,15 @@ def default_query(spark, folder):
 )
 def slugify(spark, folder):
     return load(spark, folder, "collections").select("collection_id", I.slug("title").alias("slug"))
+
+
+@query(f"WITH {Q.DOCS}, {Q.NUMBERS} SELECT collection_id, id, 'article-' || lpad(number::VARCHAR, greatest(3, length(number::VARCHAR))::INT, '0') || coalesce(regexp_extract(filename, '(\\.[^./]*)$', 1), '') AS name FROM docs JOIN numbers USING (collection_id, id)")
+def raw_names(spark, folder):
+    """What a document's file is called when it is handed out."""
+    listed = docs(spark, folder).select("collection_id", "id", "filename").join(numbers(spark, folder), ["collection_id", "id"])
+    return listed.select("collection_id", "id", I.download_name("number", "filename").alias("name"))
+
+
+@query("SELECT article_no, replace(replace(replace(replace(replace(title, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;') AS title FROM articles WHERE title IS NOT NULL")
+def html_escaped(spark, folder):
+    return load(spark, folder, "articles").filter("title IS NOT NULL").select("article_no", X.html_escaped("title").alias("title"))
