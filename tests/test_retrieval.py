@@ -221,3 +221,53 @@ def test_casefold(spark):
     words = "ΣΊΣΥΦΟΣ Straße ﬁn"
     assert spark.createDataFrame([(w,) for w in words.split()], "w string").selectExpr("casefold(w) AS f").collect()[0].f == "ΣΊΣΥΦΟΣ".casefold()
     assert [r.f for r in spark.createDataFrame([("ﬁn",), (None,)], "w string").selectExpr("casefold(w) AS f").collect()] == ["fin", None]
+
+
+def test_training_follows_every_update(spark):
+    """Against scalar loops: each word drawn is met with what the updates before it left."""
+    import math
+
+    import numpy as np
+
+    n = np.array([9, 5, 4, 2])
+    for examples in ([([0], 1), ([1], 2), ([2], 0), ([3], 1)] * 5, [([0, 1, 1], 2), ([2, 3], 0), ([1], 3)] * 5):
+        dimension, epochs, negatives, seed = 8, 2, 3, 7
+        draw = np.random.default_rng(seed)
+        inner = draw.uniform(-0.5 / dimension, 0.5 / dimension, (4, dimension)).tolist()
+        outer = [[0.0] * dimension for _ in n]
+        sums = np.cumsum(n**0.75)
+        for epoch in range(epochs):
+            order = draw.permutation(len(examples))
+            drawn = draw.random((len(examples), negatives)) * sums[-1]
+            rate = 0.035 * (1 - 0.35 * epoch / max(1, epochs - 1))
+            for k, values in zip(order, drawn):
+                sources, target = examples[k]
+                words = [target]
+                for v in values:
+                    word = int(np.searchsorted(sums, v))
+                    words.append((word + 1) % 4 if word == target else word)
+                for place, word in enumerate(words):
+                    hidden = [sum(inner[s][d] for s in sources) / len(sources) for d in range(dimension)]
+                    score = max(-8.0, min(8.0, sum(h * o for h, o in zip(hidden, outer[word]))))
+                    gradient = rate * ((place == 0) - 1 / (1 + math.exp(-score)))
+                    old = outer[word][:]
+                    outer[word] = [o + gradient * h for o, h in zip(old, hidden)]
+                    for s in sources:
+                        inner[s] = [x + gradient * o / len(sources) for x, o in zip(inner[s], old)]
+        unit = np.array(inner) / np.linalg.norm(inner, axis=1, keepdims=True)
+        assert np.allclose(E._train(examples, n, dimension, epochs, negatives, seed), unit, atol=1e-12)
+
+
+def test_projection_against_eigenvectors(spark):
+    import numpy as np
+
+    rnd = np.random.default_rng(4)
+    values = rnd.normal(size=(40, 5)) * [5, 3, 1, 0.5, 0.1]
+    points, shares = E.projection(spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(values)], "k bigint, v array<double>"), "k", "v")
+    centred = values - values.mean(axis=0)
+    sizes, axes = np.linalg.eigh(np.cov(centred.T))
+    axes = axes[:, ::-1][:, :2]
+    axes *= np.where(1 / np.arange(1, 6) @ axes < 0, -1, 1)
+    got = {r.k: (r.x, r.y) for r in points.collect()}
+    assert np.allclose([got[k] for k in range(40)], centred @ axes, atol=2e-6)
+    assert np.allclose(shares, sizes[::-1][:2] / sizes.sum())
