@@ -21,7 +21,7 @@ sentences: their inner slots never part.  Line ends always part, and in Thai bla
 Texts are cut into slots once; slots are kept as numbers (places and hashes of their
 contexts).  Counting, the rounds of training and decoding then run on arrays.  The
 counts of all rows are added up by Spark; what the model keeps of them are sorted
-hash arrays, sent to every task.
+hash arrays, sent to every task: broadcast, or as mapped files where they are large.
 """
 
 from __future__ import annotations
@@ -39,6 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lexifold.llm import tables
 from lexifold.runtime import materialise
 
 LINE = re.compile(r"[^\n\r\x0b\x0c\x1c-\x1e\x85  ]+")
@@ -561,10 +562,30 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def expected(sent):
-    """Map task: cut texts to the boundaries their slots are expected to hold, by places in the model's arrays."""
+    """Map task: cut texts to the boundaries their slots are expected to hold, by places in the model's arrays.
+
+    A task adds up its texts' sums in arrays as large as the model's, unless those are
+    mapped; then it hands on those of every slice of texts.
+    """
+
+    def summed(kind: str, places: list[np.ndarray], a: list[np.ndarray], b: list[np.ndarray]) -> pa.RecordBatch:
+        return _summed(kind, *(np.concatenate(x) for x in (places, a, b)))
+
+    def sparse(model: Model, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for found in _read(batches):
+            inside = found.sort == MARKED
+            at = tuple(model._at(model.contexts, k) for k in found.left())
+            word, shape_ = model._at(model.words, found.nx), model._at(model.words, found.sn)
+            p = 1 / (1 + np.exp(-model.marked_odds(found, at, word, shape_)[inside]))
+            yield summed("left", [places[inside] for places in at], [p] * len(at), [np.zeros_like(p)] * len(at))
+            yield summed("word", [word[inside], shape_[inside]], [p] * 2, [1 - p] * 2)
+            yield summed("total", [np.zeros(len(p), np.int64)], [p], [1 - p])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model: Model = sent.value
+        if isinstance(model.contexts, np.memmap) or isinstance(model.words, np.memmap):
+            yield from sparse(model, batches)
+            return
         left, next_, total = np.zeros(len(model.contexts)), np.zeros((2, len(model.words))), np.zeros(2)
         for found in _read(batches):
             inside = found.sort == MARKED
@@ -584,25 +605,23 @@ def expected(sent):
     return task
 
 
-def _kept(counts: DataFrame, least: float, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted hashes with both counts of the entries with ``n`` of ``least``; that is doubled until at most ``most`` remain."""
-    while counts.filter(F.col("n") >= least).count() > most:
+def _kept(counts: DataFrame, least: float, most: int | None, held: int) -> list[np.ndarray]:
+    """Sorted hashes with both counts of the entries with ``n`` of ``least`` (doubled until at most ``most`` remain, if that is given), and a place for all others."""
+    while most is not None and counts.filter(F.col("n") >= least).count() > most:
         least *= 2
-    table = counts.filter(F.col("n") >= least).select("hash", "a", "b").toArrow()
-    keys, a, b = (table.column(c).to_numpy() for c in ("hash", "a", "b"))
-    order = np.argsort(keys)
-    nothing = np.zeros(1)
-    return np.append(keys[order], np.iinfo(np.int64).max), np.append(a[order], nothing), np.append(b[order], nothing)
+    return tables.looked_up(counts.filter(F.col("n") >= least), ["a", "b"], np.float64, held, spare=1)
 
 
-def learnt(survey: DataFrame, rounds: int = 4, least: float = 2.0, most: int = 2_000_000) -> Model:
+def learnt(survey: DataFrame, rounds: int = 4, least: float = 2.0, most: int | None = None, held: int = 2_000_000) -> Model:
     """Expectation maximisation over all cut texts of a survey.
 
     Every row is counted, and every round runs over all rows.  What the model keeps are
-    contexts and words seen ``least`` times (once says nothing that backing off
-    doesn't), at most ``most`` of each (24 bytes apiece): where more were seen as often,
-    the least frequent back off to their shorter contexts and shapes, too.
+    all contexts and words seen ``least`` times (once says nothing that backing off
+    doesn't).  Up to ``held`` of either (24 bytes apiece) are in memory; more are in
+    mapped files, with the same results.  Only a caller who gives ``most`` gets a smaller
+    model, whose least frequent entries back off to their shorter contexts and shapes.
     """
+    spark = survey.sparkSession
     cut_ = survey.filter(F.col("slots").isNotNull()).select("slots")
     counts = materialise(cut_.mapInArrow(contexts, _SUMS).groupBy("kind", "hash").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "contexts")
     words = survey.filter(F.col("word").isNotNull()).select(F.col("word").alias("hash"), F.col("starts").alias("a"), F.col("mids").alias("b"), (F.col("starts") + F.col("mids")).alias("n"))
@@ -617,30 +636,38 @@ def learnt(survey: DataFrame, rounds: int = 4, least: float = 2.0, most: int = 2
         else:
             inside, total_ends = a, b
     rate = max(1.0, inside / total_ends) if total_ends else 1.0  # boundaries at slots are so many times as frequent as at lines' ends
-    keys, seen, ends = _kept(counts.filter("kind = 'left'").withColumn("n", F.col("a") + F.col("b")), least, most)
-    names, starts, mids = _kept(words, least, most)
+    keys, seen, ends = _kept(counts.filter("kind = 'left'").withColumn("n", F.col("a") + F.col("b")), least, most, held)
+    names, starts, mids = _kept(words, least, most, held)
+    mapped, mapped_words = isinstance(keys, np.memmap), isinstance(names, np.memmap)
     # Each word is counted as itself, in lower case and as its shape.
     started, stayed = (max(1.0, (x or 0) / 3) for x in words.agg(F.sum("a"), F.sum("b")).first())
     enough = 4 * rate  # slots from which on a word that is never at a line's end says something
     sure = np.array([_hash(m) for m in _SURE], np.int64)
-    told = ((seen >= enough) | (ends > 0)) & ~np.isin(keys, sure)
-    model = Model(keys, np.where(told, np.minimum(seen, ends * rate), 0.0), np.where(told, seen, 0.0), ends, names, starts, mids, started / stayed, rate, _lengths(gaps))
+    yes, known = (tables.zeros(len(keys), np.float64, mapped) for _ in range(2))
+    for at in tables.slices(len(keys)):
+        told = ((seen[at] >= enough) | (ends[at] > 0)) & ~np.isin(keys[at], sure)
+        yes[at] = np.where(told, np.minimum(seen[at], ends[at] * rate), 0.0)
+        known[at] = np.where(told, seen[at], 0.0)
+    model = Model(keys, yes, known, ends, names, starts, mids, started / stayed, rate, _lengths(gaps))
     for _ in range(rounds):
-        sent = survey.sparkSession.sparkContext.broadcast(model)
-        sums = cut_.mapInArrow(expected(sent), _SUMS).groupBy("kind", "hash").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).toArrow()  # no more rows than the model
+        sent = tables.send(spark, model)
+        sums = materialise(cut_.mapInArrow(expected(sent), _SUMS).groupBy("kind", "hash").agg(F.sum("a").alias("a"), F.sum("b").alias("b")), "expected")  # no more rows than the model
         sent.destroy()
-        kind = sums.column("kind").to_numpy(zero_copy_only=False)
-        at, a, b = (sums.column(c).to_numpy() for c in ("hash", "a", "b"))
-        yes, behind, other = np.zeros(len(keys)), starts.copy(), mids.copy()
-        yes[at[kind == "left"]] = a[kind == "left"]
-        behind[at[kind == "word"]] += a[kind == "word"]
-        other[at[kind == "word"]] += b[kind == "word"]
+        yes = tables.zeros(len(keys), np.float64, mapped)
+        behind, other = (tables.zeros(len(names), np.float64, mapped_words) for _ in range(2))
+        tables.scattered(sums.filter("kind = 'left'"), [yes], ["a"])
+        tables.scattered(sums.filter("kind = 'word'"), [behind, other], ["a", "b"])
         # A word that is never at a line's end can't be at every sentence's; chance is allowed for.
-        yes = np.where(seen >= enough, np.minimum(yes, (ends + 1.5) * rate * 3), yes)
+        for at in tables.slices(len(keys)):
+            yes[at] = np.where(seen[at] >= enough, np.minimum(yes[at], (ends[at] + 1.5) * rate * 3), yes[at])
+        for at in tables.slices(len(names)):
+            behind[at] += starts[at]
+            other[at] += mids[at]
         for array in (yes, behind, other):
             array[-1] = 0  # the place of what isn't kept
         # Behind a slot inside a line counts as behind the line's end.
-        scale = (started + a[kind == "total"].sum()) / (stayed + b[kind == "total"].sum())
+        total = sums.filter("kind = 'total'").agg(F.coalesce(F.sum("a"), F.lit(0.0)), F.coalesce(F.sum("b"), F.lit(0.0))).first()
+        scale = (started + total[0]) / (stayed + total[1])
         model = Model(keys, yes, seen, ends, names, behind, other, float(scale), rate, model.length)
     return model
 
@@ -669,13 +696,14 @@ def sentences(texts: DataFrame, key: str, columns: list[str], model: Model | Non
     if model is None:
         held = materialise(held, "slots")
         model = learnt(held)
-    sent = texts.sparkSession.sparkContext.broadcast(model)
+    sent = tables.send(texts.sparkSession, model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_model = sent.value
         for batch in batches:
             for row in range(batch.num_rows):
                 keys, parts = (batch.column(c).slice(row, 1).flatten() for c in ("_keys", "_parts"))
-                of_text, starts, ends = sentence_edges(Slots(batch.column("slots")[row].as_py()), sent.value)
+                of_text, starts, ends = sentence_edges(Slots(batch.column("slots")[row].as_py()), own_model)
                 new = np.concatenate([[True], of_text[1:] != of_text[:-1]]) if len(of_text) else np.empty(0, bool)
                 number = np.arange(len(of_text)) - np.maximum.accumulate(np.where(new, np.arange(len(of_text)), 0))
                 at = pa.array(of_text)

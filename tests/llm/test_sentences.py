@@ -118,3 +118,20 @@ def test_learns_from_all_rows(spark):
     assert got.filter(F.col("k").isin(outside)).count() == len(outside)
     alone = S.sentences(df, "k", ["a", "b"], S.fit(df, "k", ["a", "b"]))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, alone.collect()))
+
+
+def test_a_model_beyond_memory_is_whole(spark):
+    """Nothing is dropped by default; with arrays in mapped files the model and its sentences are the same."""
+    import numpy as np
+
+    df = spark.createDataFrame([(k, t, None) for k, t in enumerate(RUNNING * 8)], "k bigint, a string, b string").repartition(4)
+    survey = S._surveyed(df, "k", ["a", "b"], False).cache()
+    whole, mapped = S.learnt(survey), S.learnt(survey, held=20)
+    assert isinstance(mapped.contexts, np.memmap) and isinstance(mapped.behind, np.memmap) and not isinstance(whole.contexts, np.memmap)
+    assert len(mapped.contexts) > 80 and len(mapped.words) > 21
+    for name in ("contexts", "words", "seen", "ends"):
+        assert np.array_equal(getattr(whole, name), getattr(mapped, name))
+    for name in ("yes", "behind", "other"):
+        assert np.allclose(getattr(whole, name), getattr(mapped, name), rtol=1e-9, atol=1e-9)
+    got = [sorted(map(tuple, S.sentences(df, "k", ["a", "b"], m).collect())) for m in (whole, mapped)]
+    assert got[0] == got[1]
