@@ -6,8 +6,8 @@ them, so that scripts without blanks between words need no cutting.  The n-grams
 lower orders are their continuation counts, the numbers of different letters before
 them.  Discounts come from the numbers of n-grams counted once to four times, and what
 they take off is a context's weight of the next lower order.  The model is kept in
-sorted hash arrays: an n-gram's discounted share of its context, and a context's
-weight.  A document whose perplexity lies outside its language's band, so many
+sorted hash arrays, broadcast or, where they are large, as mapped files: an n-gram's
+discounted share of its context, and a context's weight.  A document whose perplexity lies outside its language's band, so many
 deviations below or above the median, is rejected as too uniform or too strange.
 """
 
@@ -22,6 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexifold.llm import tables
 from lexifold.llm.repetition import _is_letter
 from lexifold.runtime import materialise
 
@@ -161,12 +162,14 @@ def _hashed(order: int):
     return hashed
 
 
-def fit(texts: DataFrame, key: str, text: str, order: int = 4, least: int = 2, most: int = 4_000_000, at_once: int = 1 << 20) -> Model:
+def fit(texts: DataFrame, key: str, text: str, order: int = 4, least: int = 2, most: int | None = None, at_once: int = 1 << 20, in_memory: int = 4_000_000) -> Model:
     """The model of rows with ``_lang``; all n-grams are counted.
 
-    N-grams and contexts counted ``least`` times are kept: what is seen once is seen in
-    the very text that is to be judged and would speak for it.  Where more than ``most``
-    of either would be (12 bytes each, on every executor), ``least`` is doubled.
+    All n-grams and contexts counted ``least`` times are kept: what is seen once is seen
+    in the very text that is to be judged and would speak for it.  Up to ``in_memory`` of
+    either (12 bytes each) are broadcast; more are in mapped files, with the same
+    results.  Only a caller who gives ``most`` gets a smaller model: where more of either
+    would be, ``least`` is doubled.
     """
     rows = texts.select(key, "_lang", text).mapInArrow(counted(key, text, order, at_once), "lang string, gram array<int>, n bigint")
     level = materialise(rows.groupBy("lang", "gram").agg(F.sum("n").alias("n")), f"grams-{order}")
@@ -188,20 +191,17 @@ def fit(texts: DataFrame, key: str, text: str, order: int = 4, least: int = 2, m
         if k > 1:
             level = materialise(level.groupBy("lang", F.slice("gram", 2, k - 1).alias("gram")).agg(F.count("*").alias("n")), f"grams-{k - 1}")
     letters = {r[0]: r[1] for r in level.groupBy("lang").count().collect()}
-    tables = []
+    arrays = []
     for found, value in ((parts, "share"), (weights, "weight")):
         whole = found[0]
         for part in found[1:]:
             whole = whole.unionByName(part)
         whole = materialise(whole, value)
         enough = least
-        while whole.filter(n >= enough).count() > most and enough < 1 << 40:
+        while most is not None and whole.filter(n >= enough).count() > most and enough < 1 << 40:
             enough *= 2
-        table = whole.filter(n >= enough).select("hash", value).toArrow()
-        keys, values = table.column("hash").to_numpy(), table.column(value).to_numpy()
-        by_hash = np.argsort(keys)
-        tables += [keys[by_hash], values[by_hash]]
-    return Model(order, letters, *tables)
+        arrays += tables.looked_up(whole.filter(n >= enough), [value], np.float32, in_memory)
+    return Model(order, letters, *arrays)
 
 
 def scored(key: str, text: str, sent, at_once: int):
@@ -224,8 +224,8 @@ def scored(key: str, text: str, sent, at_once: int):
 
 
 def perplexity(
-    texts: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, low: float = 4.0, high: float = 4.0, least: int = 2, most: int = 4_000_000,
-    at_once: int = 1 << 20,
+    texts: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", order: int = 4, low: float = 4.0, high: float = 4.0, least: int = 2, most: int | None = None,
+    at_once: int = 1 << 20, in_memory: int = 4_000_000,
 ) -> DataFrame:
     """One row per row: key, lang (its base, ``und`` without), n_symbols, perplexity, band.
 
@@ -238,7 +238,7 @@ def perplexity(
     """
     kind = texts.schema[key].dataType.simpleString()
     held = texts.select(key, text, language(lang).alias("_lang"))
-    sent = texts.sparkSession.sparkContext.broadcast(fit(held, key, text, order, least, most, at_once))
+    sent = tables.send(texts.sparkSession, fit(held, key, text, order, least, most, at_once, in_memory))
     rows = held.select(key, "_lang", text).mapInArrow(scored(key, text, sent, at_once), f"`{key}` {kind}, lang string, n_symbols bigint, entropy double")
     rows = materialise(rows, "entropy")
     usual = rows.groupBy("lang").agg(F.percentile_approx("entropy", 0.5, 10_000).alias("usual"))

@@ -94,3 +94,17 @@ def test_symbols():
     assert P.symbols("A b,c-D\n é!").tolist() == [97, 32, 98, 32, 99, 32, 100, 32, 233]
     assert P.symbols(None).tolist() == P.symbols("1 2").tolist() == []
     assert F
+
+
+def test_a_model_beyond_memory_is_whole(spark):
+    """Nothing is dropped by default; with arrays in mapped files the model and its results are the same."""
+    import numpy as np
+
+    df = spark.createDataFrame(texts(), "doc_id bigint, text string, lang string")
+    held = df.withColumn("_lang", P.language("lang"))
+    whole, mapped = P.fit(held, "doc_id", "text"), P.fit(held, "doc_id", "text", in_memory=50)
+    for name in ("grams", "shares", "contexts", "weights"):
+        assert isinstance(getattr(mapped, name), np.memmap) and not isinstance(getattr(whole, name), np.memmap)
+        assert len(getattr(mapped, name)) > 100 and np.array_equal(getattr(whole, name), getattr(mapped, name))
+    got = [sorted(map(tuple, P.perplexity(df, in_memory=m).fillna(-1.0).collect())) for m in (50, 4_000_000)]
+    assert got[0] == got[1]
